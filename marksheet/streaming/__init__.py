@@ -1,0 +1 @@
+"""Incremental roll-ups over a stream of checks."""
