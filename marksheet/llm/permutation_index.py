@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-LENGTH, POSTS, VISITS = 16, 6, 12
+LENGTH, POSTS, VISITS = 32, 12, 24
 MAX_PIVOTS = 4096
 #: A file is cut into blocks of about so many entries and queries.
 BLOCK_ENTRIES, BLOCK_QUERIES = 4096, 1024
 #: Of each file, a query reranks this share of a block's entries by footrule, and so many at least.
-SHARE, LEAST = 0.25, 256
+SHARE, LEAST = 0.4, 512
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -51,7 +51,7 @@ def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 def footrule_table(order: np.ndarray, n_pivots: int, length: int) -> np.ndarray:
     """For one query: what a pivot at a place of an entry's order adds to the footrule distance, but for a constant."""
     place = np.arange(length)
-    out = np.repeat((length - place)[None].astype(np.int32), n_pivots, 0)
+    out = np.repeat((length - place)[None].astype(np.int16), n_pivots, 0)
     for i, p in enumerate(order.tolist()):
         out[p] = np.abs(place - i) - (length - i)
     return out.ravel()
@@ -117,9 +117,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             for q, vec, order in zip(ask["id"].to_pylist(), _matrix(ask["vec"], dim).astype(np.float64), np.frombuffer(b"".join(ask["perm"].to_pylist()), np.int16).reshape(-1, length), strict=True):
                 near = np.arange(len(ids))
                 if take < len(ids):
-                    distance = footrule_table(order, n_pivots, length)[perm].sum(1)
+                    distance = footrule_table(order, n_pivots, length)[perm].sum(1, dtype=np.int32)
                     near = np.argpartition(distance, take - 1)[:take]
                 score = x[near] @ vec
+                if len(score) > k + 1:  # ties of the last that counts stay
+                    fine = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                    near, score = near[fine], score[fine]
                 best = np.lexsort((ids[near], -score))[: k + 1]
                 out_q += [q] * len(best)
                 out_v += ids[near[best]].tolist()
