@@ -84,6 +84,8 @@ def canonical(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.add.at(inside, start, 1)
     np.add.at(inside, end, -1)
     masked[np.cumsum(inside[:-1]) == 0] = 32
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[1:] != 0x97)) + 1
+    masked[capital] += 0x20  # accented Latin capitals count as small letters, as A-Z do
     plain = word_hashes(masked, core)
     is_number = is_number[kept] | _among(plain, _NUMBER_HASHES)
     after = np.append(False, is_number[:-1]) & np.append(False, core.doc[1:] == core.doc[:-1])
