@@ -282,12 +282,12 @@ def call_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.call_violations(calls, spark.createDataFrame([("fn3",), ("fn7",)], "name string"))
 
 
-@query("""WITH n AS (SELECT 'mod.' || lower(n_name) AS module FROM nation UNION ALL SELECT 'mod.' || lower(n_name) || '.x' FROM nation), p(pattern) AS (VALUES ('mod.france'), ('mod.i'))
+@query("""WITH n AS (SELECT 'mod.' || lower(n_name) AS module FROM nation UNION ALL SELECT 'mod.' || lower(n_name) || '.x' FROM nation), p(pattern) AS (VALUES ('mod.nation_0'), ('mod.i'))
 SELECT module, pattern FROM n JOIN p ON module = pattern OR starts_with(module, pattern || '.')""")
 def module_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = A.table(spark, sf_dir, "nation").select(F.concat(F.lit("mod."), F.lower("n_name")).alias("module"))
     n = n.unionByName(n.select(F.concat("module", F.lit(".x")).alias("module")))
-    p = spark.createDataFrame([("mod.france",), ("mod.i",)], "pattern string")
+    p = spark.createDataFrame([("mod.nation_0",), ("mod.i",)], "pattern string")
     return n.join(F.broadcast(p), X.module_matches(F.col("module"), F.col("pattern"))).select("module", "pattern")
 
 
