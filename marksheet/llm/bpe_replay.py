@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from .pretokens import pieces
 from .textbuf import runs
 
-BLOCK_BYTES = 24_000_000
-MEMO_PIECES, MEMO_CHARS = 800_000, 64
+BLOCK_BYTES = 12_000_000
+MEMO_PIECES, MEMO_CHARS = 400_000, 64
 NONE = np.int64(1) << 40
 
 
@@ -225,6 +225,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: b
                 out["ids"] = pa.array(lists, pa.list_(pa.int32()))
             out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
+        own.memo = {}  # the worker goes on to other stages
 
     schema = "doc_id long, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", "text").mapInArrow(work, schema)
