@@ -22,10 +22,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
 from .pretokens import pieces
-from .textbuf import runs
+from .textbuf import give_back, runs
 
-BLOCK_BYTES = 12_000_000
-MEMO_PIECES, MEMO_CHARS = 400_000, 64
+BLOCK_BYTES = 6_000_000
+MEMO_PIECES, MEMO_CHARS = 200_000, 64
 NONE = np.int64(1) << 40
 
 
@@ -180,7 +180,8 @@ class Codec:
         got = self.learn([" " + p for p in new] + list(heads))
         late = {p: got[" " + p] for p in new if len(p) > MEMO_CHARS}
         self.memo.update((p, got[" " + p]) for p in new if len(p) <= MEMO_CHARS)
-        memo = self.memo
+        memo, got = self.memo, {h: got[h] for h in heads}
+        del seen, new, heads
         for t in texts:
             if not t:
                 yield []
@@ -226,6 +227,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: b
             out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
         own.memo = {}  # the worker goes on to other stages
+        give_back()
 
     schema = "doc_id long, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", "text").mapInArrow(work, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is still taken whole.
-RUN_BYTES = 3_000_000
+RUN_BYTES = 1_000_000
 
 
 class Run(NamedTuple):
@@ -35,6 +36,15 @@ def runs(batches: Iterable[pa.RecordBatch], column: str, limit: int = RUN_BYTES)
             end = min(end, len(text))
             yield Run(batch.slice(at, end - at), raw[offs[at] : offs[end]], offs[at : end + 1] - offs[at], valid[at:end])
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Hand free memory back to the system, as workers stay alive between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 _rng = np.random.default_rng(20240229)
