@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame
 from .pretokens import pieces
 from .textbuf import give_back, runs
 
-BLOCK_BYTES = 6_000_000
-MEMO_PIECES, MEMO_CHARS = 200_000, 64
+BLOCK_BYTES = 1_000_000
+MEMO_PIECES, MEMO_CHARS = 50_000, 64
+#: A merge at so few positions is applied one by one, as numpy's calls would cost more.
+FEW = 24
 NONE = np.int64(1) << 40
+NONE_INT = int(NONE)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,6 +53,9 @@ class MergeReplay:
         order = np.argsort(key)
         self.pair, self.made = np.append(key[order], np.int64(2**62)), np.append(np.array(made, np.int64)[order], NONE)
         self.whole = ranks
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
 
     def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank that merging each pair gives, NONE if there is none. b < 0: no symbol."""
@@ -71,8 +77,10 @@ class MergeReplay:
         alive = np.ones(n, bool)
         symbol_after = lambda i: np.where(i >= 0, sym[i], -1)
         rank = self.ranks_of(sym, symbol_after(nxt))
-        index: dict[int, list[np.ndarray]] = {}
+        index: dict[int, list[np.ndarray]] = {}  # positions under the rank of their pair, as arrays
+        few: dict[int, list[int]] = {}  # and one by one
         heap: list[int] = []
+        at_word, at_sym, at_nxt, at_prv, at_alive, at_rank = map(memoryview, (word, sym, nxt, prv, alive, rank))
 
         def post(where: np.ndarray) -> None:
             """Put these left ends of pairs under the ranks that they have now."""
@@ -86,14 +94,52 @@ class MergeReplay:
             for r, a, b in zip(own[at].tolist(), at.tolist(), ends, strict=True):
                 if r not in index:
                     index[r] = []
-                    heapq.heappush(heap, r)
+                    if r not in few:
+                        heapq.heappush(heap, r)
                 index[r].append(where[a:b])
 
+        def look_up(i: int) -> int:
+            """The rank that the pair at i has now; it is put under it."""
+            after = at_nxt[i]
+            new = self.whole.get(self.bytes_of[at_sym[i]] + self.bytes_of[at_sym[after]], NONE_INT) if after >= 0 else NONE_INT
+            at_rank[i] = new
+            if new < NONE_INT:
+                if new in few:
+                    few[new].append(i)
+                else:
+                    few[new] = [i]
+                    if new not in index:
+                        heapq.heappush(heap, new)
+            return new
+
+        def merge_each(r: int, where: list[int]) -> None:
+            held: set[int] = set()  # words where a pair of lower rank has come up, which goes first
+            for i in where:
+                if not at_alive[i] or at_rank[i] != r:
+                    continue
+                if at_word[i] in held:
+                    look_up(i)
+                    continue
+                mid = at_nxt[i]
+                after, before = at_nxt[mid], at_prv[i]
+                at_alive[mid] = False
+                at_sym[i], at_nxt[i] = r, after
+                if after >= 0:
+                    at_prv[after] = i
+                low = look_up(i) < r
+                if before >= 0:
+                    low |= look_up(before) < r
+                if low:
+                    held.add(at_word[i])
+
         post(np.arange(n))
         while heap:
             r = heapq.heappop(heap)
-            where = index.pop(r)
-            where = np.sort(np.concatenate(where)) if len(where) > 1 else np.sort(where[0])
+            where, single = index.pop(r, []), few.pop(r, [])
+            if sum(map(len, where)) + len(single) <= FEW:
+                merge_each(r, sorted({*single, *chain.from_iterable(x.tolist() for x in where)}))
+                continue
+            where = np.sort(np.concatenate([*where, np.array(single, np.int64)]))
             where = where[np.append(True, where[1:] != where[:-1])]
             where = where[alive[where] & (rank[where] == r)]
             if not len(where):
@@ -153,11 +199,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.replay, self.pattern = MergeReplay(ranks), fast_pattern(pattern)
-        size = max(ranks.values()) + 1
-        self.bytes_of: list[bytes] = [b""] * size
-        for token, k in ranks.items():
-            self.bytes_of[k] = token
-        self.digits_of = [str(k) for k in range(size)]
+        self.bytes_of = self.replay.bytes_of
+        self.digits_of = [str(k) for k in range(len(self.bytes_of))]
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def learn(self, new: list[str]) -> dict[str, tuple[int, ...]]:
