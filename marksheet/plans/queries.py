@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marksheet import schema
 from marksheet.functions import scores as S
@@ -13,7 +14,9 @@ from marksheet.functions import text as X
 from marksheet.operators import events as EV
 from marksheet.operators import history as H
 from marksheet.operators import scoring as SC
+from marksheet.operators import source_facts as SF
 from marksheet.operators import structure as ST
+from marksheet.operators import textdiff as TD
 
 from . import adapters as A
 
@@ -310,3 +313,44 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     b = a + F.when(k % 4 == 1, 1e-7).when(k % 4 == 2, 1.0).otherwise(0.0)
     return o.select(k.alias("id"), X.values_match(F.when(k % 3 == 0, "int").otherwise("float"), a, F.when(k % 2 == 0, "int").otherwise("float"), b).alias("verdict"))
+
+
+# ---------------------------------------------------------------- text diffs and source facts
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation against the next one."""
+    turns = A.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("expected"))
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    return turns.select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), "expected", F.lead("expected").over(after).alias("actual"))
+
+
+@query()
+def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment has no short SQL; tests hold it against a plain reconstruction."""
+    return TD.diff_lines(_answers(spark, sf_dir))
+
+
+@query()
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TD.diff_summary(TD.diff_lines(_answers(spark, sf_dir)))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small program for each part."""
+    called = F.element_at(F.array(F.lit("abs"), F.lit("len"), F.lit("print")), (F.col("p_size") % 3 + 1).cast("int"))
+    code = F.concat(F.lit("import math\n\ndef f"), F.col("p_partkey").cast("string"), F.lit("(x):\n    for i in x:\n        "), called, F.lit("(i)\n    return "), called, F.lit("(x)\n"))
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), code.alias("source"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS file_id, (['abs','len','print'])[p_size % 3 + 1] AS c, 'f' || p_partkey AS f FROM part)
+SELECT file_id, 'import' AS fact, 'math' AS name, 1 AS line, NULL AS in_function FROM s UNION ALL SELECT file_id, 'function', f, 3, NULL FROM s
+UNION ALL SELECT file_id, 'construct', 'for', 4, f FROM s UNION ALL SELECT file_id, 'call', c, 5, f FROM s UNION ALL SELECT file_id, 'call', c, 6, f FROM s""")
+def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SF.source_facts(_sources(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS file_id, (['abs','len','print'])[p_size % 3 + 1] AS name, 2 AS n_calls, '5,6' AS lines, 'f' || p_partkey AS functions FROM part")
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = SF.call_sites(SF.source_facts(_sources(spark, sf_dir)))
+    return sites.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ",")).withColumn("functions", F.array_join("functions", ","))
