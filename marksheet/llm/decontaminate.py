@@ -1,9 +1,11 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, names and units become typed placeholders, all else is lower-cased; windows of WINDOW such tokens of the
-benchmark are hash-joined with those of the documents. Windows of a document and an item that lie on one diagonal
-belong together; the values in their slots must map consistently (each value of the item to one value in the
-document), so a re-parameterised question is found and an accidental template isn't.
+benchmark are hash-joined with those of the documents, and so are windows of the plain tokens (lower-cased, nothing
+replaced). Windows of a document and an item that lie on one diagonal belong together. Templates count if half of
+their tokens at least are literal and the values in their slots map consistently (each value of the item to one value
+in the document), so a re-parameterised question is found and an accidental template isn't. Equal plain windows always
+count: they find copies that are mostly numbers, and those whose first word or case reads as a name elsewhere.
 
 Defined results: null and empty texts and items match nothing; an item with fewer tokens than a window is matched
 whole from MIN_TOKENS tokens on; a doc_id or item_id that is null or repeated is matched like any other, and equal
@@ -94,11 +96,11 @@ def canonical(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, plain, core.first
 
 
-WINDOWS = "h long, pos int, tokens array<long>, plain array<long>"
+WINDOWS = "h long, exact boolean, pos int, tokens array<long>, plain array<long>"
 
 
 def _windows(batches: Iterable[pa.RecordBatch], key: str, sizes: list[int], wanted: np.ndarray | None, per_item: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each window (of items: of one size that fits; of documents: of each size) that is wanted."""
+    """A row for each window (of items: of one size that fits; of documents: of each size) that is wanted, as a template and as it stands."""
     for run in runs(batches, "text"):
         token, plain, first = canonical(run)
         literal = ~((token == NUM) | (token == NAME) | (token == UNIT))
@@ -108,28 +110,32 @@ def _windows(batches: Iterable[pa.RecordBatch], key: str, sizes: list[int], want
             if len(token) < size:
                 continue
             total = len(token) - size + 1
-            rolled = np.full(total, size, np.uint64)
-            for j in range(size):
-                rolled = mix(rolled * np.uint64(3) + token[j : j + total])
             doc = np.searchsorted(first, np.arange(total), "right") - 1
-            fine = np.arange(total) + size <= first[doc + 1]
-            fine &= (lit[size:] - lit[:-size]) * 2 >= size
+            whole = np.arange(total) + size <= first[doc + 1]
             if per_item:
-                fine &= np.minimum(n[doc], WINDOW) == size
-            if wanted is not None:
-                fine &= _among(rolled, wanted)
-            at = np.flatnonzero(fine)
-            for k in range(0, len(at), 20_000):
-                part = at[k : k + 20_000]
-                grid = part[:, None] + np.arange(size)
-                lists = lambda x, n=len(part): pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(x.ravel().view(np.int64)))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([run.rows.column(0).take(pa.array(doc[part])), pa.array(rolled[part].view(np.int64)), pa.array((part - first[doc[part]]).astype(np.int32)), lists(token[grid]), lists(plain[grid]), pa.array(n[doc[part]].astype(np.int32))], names=[key, "h", "pos", "tokens", "plain", "n"])
+                whole &= np.minimum(n[doc], WINDOW) == size
+            for exact, source in ((False, token), (True, plain)):
+                rolled = np.full(total, size + 1000 * exact, np.uint64)
+                for j in range(size):
+                    rolled = mix(rolled * np.uint64(3) + source[j : j + total])
+                fine = whole if exact else whole & ((lit[size:] - lit[:-size]) * 2 >= size)
+                if wanted is not None:
+                    fine = fine & _among(rolled, wanted)
+                at = np.flatnonzero(fine)
+                for k in range(0, len(at), 20_000):
+                    part = at[k : k + 20_000]
+                    grid = part[:, None] + np.arange(size)
+                    lists = lambda x, n=len(part): pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(x.ravel().view(np.int64)))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays(
+                        [run.rows.column(0).take(pa.array(doc[part])), pa.array(rolled[part].view(np.int64)), pa.array(np.full(len(part), exact)), pa.array((part - first[doc[part]]).astype(np.int32)), lists(token[grid]), lists(plain[grid]), pa.array(n[doc[part]].astype(np.int32))],
+                        names=[key, "h", "exact", "pos", "tokens", "plain", "n"],
+                    )
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """docs(doc_id, text, ...) and benchmark(item_id, text, ...) to pairs (doc_id, item_id, covered, item_tokens, reworded).
 
-    covered: tokens of the item in windows that match on the best diagonal; reworded: some slot has another value."""
+    covered: tokens of the item in windows that match on the best diagonal; reworded: some slot of a template that counts has another value."""
     sizes = list(range(MIN_TOKENS, WINDOW + 1))
     schema = f"{WINDOWS}, n int"
     items = materialise(benchmark.select("item_id", "text").mapInArrow(lambda b: _windows(b, "item_id", sizes, None, True), f"item_id long, {schema}"), "benchmark-windows")
@@ -140,16 +146,17 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float =
         wanted = np.sort(np.array([r.h for r in hashes.toLocalIterator()], np.int64).view(np.uint64))
     found = docs.select("doc_id", "text").mapInArrow(lambda b: _windows(b, "doc_id", sorted(present), wanted, False), f"doc_id long, {schema}")
     a, b = found.drop("n").alias("a"), items.alias("b")
-    same = F.col("a.tokens") == F.col("b.tokens")
+    same = (F.col("a.exact") == F.col("b.exact")) & F.when(F.col("b.exact"), F.col("a.plain") == F.col("b.plain")).otherwise(F.col("a.tokens") == F.col("b.tokens"))
     slots = F.filter(F.transform(F.sequence(F.lit(1), F.size("b.tokens")), lambda i: F.struct(F.element_at("b.tokens", i).alias("t"), F.element_at("b.plain", i).alias("was"), F.element_at("a.plain", i).alias("now"))), lambda s: s["t"].isin(*(int(np.int64(x)) for x in (NUM, NAME, UNIT))))
     hit = a.join(b, (F.col("a.h") == F.col("b.h")) & same).select(
-        "a.doc_id", "b.item_id", "b.n", (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), F.col("b.pos").alias("at"), F.size("b.tokens").alias("size"), F.transform(slots, lambda s: F.struct(s["was"], s["now"])).alias("slots")
+        "a.doc_id", "b.item_id", "b.n", "b.exact", (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), F.col("b.pos").alias("at"), F.size("b.tokens").alias("size"), F.transform(slots, lambda s: F.struct(s["was"], s["now"])).alias("slots")
     )
-    # A diagonal of a pair has at most as many rows as the item has windows.
-    one = hit.groupBy("doc_id", "item_id", "n", "diagonal").agg(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("spans"), F.collect_set("slots").alias("slots"))
+    # A diagonal of a pair has at most as many rows of a kind as the item has windows.
+    one = hit.groupBy("doc_id", "item_id", "n", "diagonal", "exact").agg(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("spans"), F.collect_set("slots").alias("slots"))
     pairs = F.array_distinct(F.flatten("slots"))
     consistent = F.size(F.array_distinct(F.transform(pairs, lambda s: s["was"]))) == F.size(pairs)
     # Parts of an item on several diagonals (words were put in or left out) count together.
-    kept = one.where(consistent).select("doc_id", "item_id", "n", F.explode(F.array_distinct(F.flatten("spans"))).alias("place"), F.exists(pairs, lambda s: s["was"] != s["now"]).alias("reworded"))
+    reworded = ~F.col("exact") & F.exists(pairs, lambda s: s["was"] != s["now"])
+    kept = one.where(F.col("exact") | consistent).select("doc_id", "item_id", "n", F.explode(F.array_distinct(F.flatten("spans"))).alias("place"), reworded.alias("reworded"))
     cover = kept.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("place").alias("covered"), F.max("reworded").alias("reworded"))
     return cover.where(F.col("covered") >= F.col("n") * min_cover).select("doc_id", "item_id", F.col("covered").cast("int").alias("covered"), F.col("n").alias("item_tokens"), "reworded")

@@ -165,6 +165,20 @@ def test_decontaminate(spark, none):
     assert loose
 
 
+def contaminated(spark, texts, items):
+    docs = spark.createDataFrame([(d, t, None, 1, 2, "s") for d, t in enumerate(texts)], DOC)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.find_contaminated(docs, bench).collect()}
+
+
+def test_decontaminate_finds_exact_copies(spark):
+    items = ["Solve 3x + 5 = 20", "12 * 7 + 3 = ?", "Who wrote the book", "Sort these: 5 9 2 8 1 7 3 6 4 12 15 11 and 20 18 16 14 please", "In Paris Anna Maria Lopez met Juan Carlos Reyes near Rio Grande"]
+    texts = ["Please solve 3x + 5 = 20 now", "He had 12 * 7 + 3 = ? on paper", "then he asked Who wrote the book and left", "So: " + items[3] + " Thanks", items[4].upper(), items[2].lower(), items[4], "Solve 9x + 4 = 20, 12 * 8 + 3"]
+    got = contaminated(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 2), (6, 4)} and not any(r.reworded for r in got.values())
+    assert all(r.covered == r.item_tokens for r in got.values())
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16)).astype(np.float32)
