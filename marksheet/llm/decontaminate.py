@@ -7,6 +7,10 @@ their tokens at least are literal and the values in their slots map consistently
 in the document), so a re-parameterised question is found and an accidental template isn't. Equal plain windows always
 count: they find copies that are mostly numbers, and those whose first word or case reads as a name elsewhere.
 
+A hit needs enough of the item in one neighbourhood of the document (diagonals that differ by little, as words put in or
+left out give), see needed: short items whole or nearly so, as a common phrase can be most of them. What plain windows
+alone don't reach also needs MIN_LITERAL different literal tokens.
+
 Defined results: null and empty texts and items match nothing; an item with fewer tokens than a window is matched
 whole from MIN_TOKENS tokens on; a doc_id or item_id that is null or repeated is matched like any other, and equal
 hits are given once; extra columns are ignored.
@@ -18,13 +22,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
 from .textbuf import Run, Words, mix, runs, word_hashes, words
 
 WINDOW, MIN_TOKENS, MIN_COVER = 6, 3, 0.4
+#: Of short items, this share up to so many tokens has to be covered, and always more than one window or the whole item.
+SHORT_COVER, SHORT_TOKENS, MIN_LITERAL = 0.8, 12, 4
+#: Diagonals that differ by so many tokens, or by this share of the item if that is more, are one neighbourhood.
+NEAR, NEAR_SHARE = 8, 0.25
 #: Up to so many window hashes of the benchmark (8 bytes each) go to every task; beyond, all windows are shuffled.
 MAX_BROADCAST = 4_000_000
 
@@ -132,10 +140,15 @@ def _windows(batches: Iterable[pa.RecordBatch], key: str, sizes: list[int], want
                     )
 
 
+def needed(n: Column, min_cover: float) -> Column:
+    """Tokens of an item of n that have to be covered; never less for a longer item."""
+    return F.greatest(F.ceil(n * F.lit(min_cover)), F.least(F.ceil(n * F.lit(SHORT_COVER)), F.lit(SHORT_TOKENS)), F.least(n, F.lit(WINDOW + 1)))
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """docs(doc_id, text, ...) and benchmark(item_id, text, ...) to pairs (doc_id, item_id, covered, item_tokens, reworded).
 
-    covered: tokens of the item in windows that match on the best diagonal; reworded: some slot of a template that counts has another value."""
+    covered: tokens of the item in windows that match in the best neighbourhood; reworded: some slot of a template that counts has another value."""
     sizes = list(range(MIN_TOKENS, WINDOW + 1))
     schema = f"{WINDOWS}, n int"
     items = materialise(benchmark.select("item_id", "text").mapInArrow(lambda b: _windows(b, "item_id", sizes, None, True), f"item_id long, {schema}"), "benchmark-windows")
@@ -147,16 +160,27 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float =
     found = docs.select("doc_id", "text").mapInArrow(lambda b: _windows(b, "doc_id", sorted(present), wanted, False), f"doc_id long, {schema}")
     a, b = found.drop("n").alias("a"), items.alias("b")
     same = (F.col("a.exact") == F.col("b.exact")) & F.when(F.col("b.exact"), F.col("a.plain") == F.col("b.plain")).otherwise(F.col("a.tokens") == F.col("b.tokens"))
-    slots = F.filter(F.transform(F.sequence(F.lit(1), F.size("b.tokens")), lambda i: F.struct(F.element_at("b.tokens", i).alias("t"), F.element_at("b.plain", i).alias("was"), F.element_at("a.plain", i).alias("now"))), lambda s: s["t"].isin(*(int(np.int64(x)) for x in (NUM, NAME, UNIT))))
-    hit = a.join(b, (F.col("a.h") == F.col("b.h")) & same).select(
-        "a.doc_id", "b.item_id", "b.n", "b.exact", (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), F.col("b.pos").alias("at"), F.size("b.tokens").alias("size"), F.transform(slots, lambda s: F.struct(s["was"], s["now"])).alias("slots")
-    )
+    placeholders = [int(x.view(np.int64)) for x in (NUM, NAME, UNIT)]
+    slots = F.filter(F.transform(F.sequence(F.lit(1), F.size("b.tokens")), lambda i: F.struct(F.element_at("b.tokens", i).alias("t"), F.element_at("b.plain", i).alias("was"), F.element_at("a.plain", i).alias("now"))), lambda s: s["t"].isin(*placeholders))
+    # What stands at each place that a window covers; null for the slots of a template.
+    literal = F.when(F.col("b.exact"), F.col("b.plain")).otherwise(F.transform("b.tokens", lambda t: F.when(~t.isin(*placeholders), t)))
+    span = F.transform(literal, lambda t, i: F.struct((F.col("b.pos") + i).alias("place"), t.alias("literal")))
+    hit = a.join(b, (F.col("a.h") == F.col("b.h")) & same).select("a.doc_id", "b.item_id", "b.n", "b.exact", (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), span.alias("span"), F.transform(slots, lambda s: F.struct(s["was"], s["now"])).alias("slots"))
     # A diagonal of a pair has at most as many rows of a kind as the item has windows.
-    one = hit.groupBy("doc_id", "item_id", "n", "diagonal", "exact").agg(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("spans"), F.collect_set("slots").alias("slots"))
+    one = hit.groupBy("doc_id", "item_id", "n", "diagonal", "exact").agg(F.collect_set("span").alias("spans"), F.collect_set("slots").alias("slots"))
     pairs = F.array_distinct(F.flatten("slots"))
     consistent = F.size(F.array_distinct(F.transform(pairs, lambda s: s["was"]))) == F.size(pairs)
-    # Parts of an item on several diagonals (words were put in or left out) count together.
     reworded = ~F.col("exact") & F.exists(pairs, lambda s: s["was"] != s["now"])
-    kept = one.where(F.col("exact") | consistent).select("doc_id", "item_id", "n", F.explode(F.array_distinct(F.flatten("spans"))).alias("place"), reworded.alias("reworded"))
-    cover = kept.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("place").alias("covered"), F.max("reworded").alias("reworded"))
-    return cover.where(F.col("covered") >= F.col("n") * min_cover).select("doc_id", "item_id", F.col("covered").cast("int").alias("covered"), F.col("n").alias("item_tokens"), "reworded")
+    # Parts of an item on near diagonals count together: each diagonal is in two overlapping neighbourhoods of twice NEAR,
+    # so any two that differ by NEAR at most share one.
+    near = F.greatest(F.lit(NEAR), F.floor(F.col("n") * F.lit(NEAR_SHARE)))
+    area = F.floor(F.col("diagonal") / (near + 1))
+    placed = one.where(F.col("exact") | consistent).select("doc_id", "item_id", "n", "exact", reworded.alias("reworded"), F.explode(F.array(area - 1, area)).alias("area"), F.array_distinct(F.flatten("spans")).alias("span"))
+    placed = placed.select("*", F.explode("span").alias("at"))
+    cover = placed.groupBy("doc_id", "item_id", "n", "area").agg(
+        F.size(F.collect_set("at.place")).alias("covered"), F.size(F.collect_set(F.when(F.col("exact"), F.col("at.place")))).alias("as_is"), F.size(F.collect_set("at.literal")).alias("literals"), F.max("reworded").alias("reworded")
+    )
+    need = needed(F.col("n"), min_cover)
+    enough = cover.where((F.col("covered") >= need) & ((F.col("as_is") >= need) | (F.col("literals") >= MIN_LITERAL)))
+    best = enough.groupBy("doc_id", "item_id", "n").agg(F.max(F.struct("covered", (~F.col("reworded")).alias("same"))).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.covered").cast("int").alias("covered"), F.col("n").alias("item_tokens"), (~F.col("best.same")).alias("reworded"))

@@ -179,6 +179,19 @@ def test_decontaminate_finds_exact_copies(spark):
     assert all(r.covered == r.item_tokens for r in got.values())
 
 
+def test_decontaminate_leaves_clean_documents(spark):
+    a, b = "at the end of the day we", "it goes without saying that they"
+    items = ["Which of the following is true about X?", f"{a} {' '.join(f'item{i}' for i in range(16))} {b}", "What is 7?", "The river Elbe is 20 km long"]
+    filler = " ".join(f"plain{i}" for i in range(4000))
+    copy = items[1].replace("item4 ", "").replace("item9 ", "item9 put in here ")
+    texts = ["Tell me which of the following is true and why.", f"{a} {filler} {b}", "so what is 5 then", "they say The river Oder is 30 km wide", copy, f"{filler} {copy}", "Now which of the following is true about X? Well.", items[3]]
+    got = contaminated(spark, texts, items)
+    assert set(got) == {(4, 1), (5, 1), (6, 0), (7, 3)} and got[6, 0].covered == 8
+    # Copies are found at each place relative to where neighbourhoods begin.
+    moved = contaminated(spark, [" ".join(["pad"] * i + [copy]) for i in range(40)], items)
+    assert set(moved) == {(i, 1) for i in range(40)} and len({r.covered for r in moved.values()}) == 1
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16)).astype(np.float32)
