@@ -5,6 +5,8 @@ log-linear in what the node shows, parent-child potentials in the kind of edge.
 the leaves to the root and once back, level by level over all pages of a batch at once, and give exact marginals.
 The weights are fitted by gradient ascent on the likelihood of labelled pages, with the same messages.
 
+Features of a text block, as its share of legal words and of digits, are taken from the whole block.
+
 Defined results: null or empty html, and a page whose text blocks are all unlikely, give an empty text; a page
 without any hint of its structure keeps what reads like prose; repeated rows give equal results; a null page_id or
 url is carried on; columns other than page_id, url and html are ignored.
@@ -46,6 +48,8 @@ for _k, _line in enumerate(NAME_KINDS.values()):
     for _w in _line.split():
         _NAME.setdefault(_w, []).append(_k)
 _DIGIT = re.compile(r"\d")
+#: Legal words; a block of which LEGAL_SHARE of the words or more are such shows the feature in full.
+_LEGAL, LEGAL_SHARE = re.compile("©|copyright|all rights|cookie"), 0.05
 N_TAG, N_NAME, N_TEXT = len(TAG_KINDS) + 1, len(NAME_KINDS), 9
 N_NODE = 1 + N_TAG + N_NAME + N_TAG + N_TEXT
 #: Kinds of edges: element under element, text under element, and the same below an element with a telling name.
@@ -74,8 +78,8 @@ class Forest:
                     feats.append((1 + N_TAG + N_NAME + _TAG.get(owner, N_TAG - 1), 1.0))
                     at = 1 + N_TAG + N_NAME + N_TAG
                     n, words = len(text), text.count(" ") + 1
-                    low = text[:200].lower()
-                    feats += [(at, 1.0), (at + 1, min(np.log1p(words), 6.0) / 3), (at + 2, page.linked[k] / n), (at + 3, float(text[-1] in ".!?:\"”…")), (at + 4, float("©" in text or "copyright" in low or "all rights" in low or "cookie" in low)), (at + 5, float(words < 5)), (at + 6, (text.count(".") + text.count(",") + text.count(";")) / words), (at + 7, float(words > 25)), (at + 8, len(_DIGIT.findall(low)) / len(low))]
+                    legal = len(_LEGAL.findall(text.lower())) / words
+                    feats += [(at, 1.0), (at + 1, min(np.log1p(words), 6.0) / 3), (at + 2, page.linked[k] / n), (at + 3, float(text[-1] in ".!?:\"”…")), (at + 4, min(legal / LEGAL_SHARE, 1.0)), (at + 5, float(words < 5)), (at + 6, (text.count(".") + text.count(",") + text.count(";")) / words), (at + 7, float(words > 25)), (at + 8, len(_DIGIT.findall(text)) / n)]
                 rows += [node] * len(feats)
                 cols += [c for c, _ in feats]
                 vals += [v for _, v in feats]

@@ -291,6 +291,22 @@ def test_main_text_on_made_pages():
     assert wrong / total < 0.03
 
 
+def test_features_see_whole_blocks():
+    filler, notice = "lorem ipsum dolor sit amet consetetur " * 8, "We use cookies, read the cookie policy. Copyright 2024 12345 Example, all rights reserved. "
+    model, seen = main_text.default_model(), []
+    for text in (notice + filler, filler + notice, filler * 2):
+        page = main_text.parse(f"<html><body><div>{text}end.</div></body></html>")
+        forest = main_text.Forest([page])
+        leaf = next(k for k, t in enumerate(page.text) if t is not None)
+        last = forest.rows == leaf
+        seen.append((dict(zip((forest.cols[last] - main_text.N_NODE).tolist(), forest.vals[last].tolist(), strict=True)), forest.marginals(model.w, model.pair)[0][leaf]))
+    (early, p_early), (late, p_late), (plain, p_plain) = seen
+    assert early == late and p_early == p_late < p_plain
+    assert early[-5] == 1 and early[-1] > 0 == plain[-5] == plain[-1]
+    long = main_text.Forest([main_text.parse(f"<p>{'word ' * 4000} a cookie was baked.</p>")])
+    assert 0 < long.vals[long.cols == main_text.N_NODE - 5][0] < 0.01
+
+
 def test_marginals_are_exact():
     page = main_text.parse("<div><p>a</p><ul class=nav><li>b<li>c</ul></div>")
     forest = main_text.Forest([page])
