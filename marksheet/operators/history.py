@@ -53,6 +53,12 @@ def list_analyses(analyses: DataFrame, subject_id: str | None = None, project_id
     return analyses.orderBy(F.desc("created_at"), F.desc("number"), F.desc("id")).limit(max(1, min(1000, limit)))
 
 
+def list_by_subject(analyses: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest of every subject, 1 to 1000 rows each."""
+    w = Window.partitionBy("subject_id").orderBy(F.desc("created_at"), F.desc("number"), F.desc("id"))
+    return analyses.withColumn("k", F.row_number().over(w)).where(F.col("k") <= max(1, min(1000, limit))).drop("k")
+
+
 def keep_newest(items: DataFrame, keys: list[str], order: str, n: int, protected: DataFrame | None = None) -> DataFrame:
     """What retention would drop: all but the n last of each key, and what is protected by id."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("id"))

@@ -178,6 +178,18 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.keep_newest(rows, ["subject_id", "project_id"], "number", 3).select("id")
 
 
+@query(f"WITH {A.ANALYSES} SELECT subject_id, id, number, created_at FROM analyses QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY created_at DESC, number DESC, id DESC) <= 50")
+def history_of_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.list_by_subject(A.analyses(spark, sf_dir)).select("subject_id", "id", "number", "created_at")
+
+
+@query(f"WITH {A.ANALYSES}, r AS (SELECT id, row_number() OVER (PARTITION BY subject_id, project_id ORDER BY number DESC, id DESC) AS k FROM analyses) SELECT id FROM r WHERE k > 3 AND id % 10 <> 0")
+def retention_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All analyses are ranked; those that are protected are only spared."""
+    rows = A.analyses(spark, sf_dir)
+    return H.keep_newest(rows, ["subject_id", "project_id"], "number", 3, protected=rows.where("id % 10 = 0")).select("id")
+
+
 @query(f"""WITH {A.ANALYSES}, u AS (SELECT id, readiness, 0 AS v FROM analyses UNION ALL SELECT id, readiness + 1, 1 FROM analyses WHERE id % 3 = 0) SELECT id, readiness FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY v DESC) = 1""")
 def upsert_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.analyses(spark, sf_dir).select("id", "readiness", F.lit(0).alias("v"))

@@ -12,6 +12,7 @@ from marksheet.functions import text as X
 from marksheet.operators import history as H
 from marksheet.operators import scoring as SC
 from marksheet.operators import structure as ST
+from marksheet.plans import adapters as A
 from marksheet.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,22 @@ def test_order_of_rows_does_not_matter(spark):
     rows = QUERIES["dedupe_checks"](spark, SF)
     again = QUERIES["dedupe_checks"](spark, SF).repartition(7)
     assert rows.exceptAll(again).count() == 0
+
+
+def test_protected_analyses_are_ranked_and_spared(spark):
+    rows = A.analyses(spark, "/root/testdata/sf0.001").select("id", "subject_id", "project_id", "number").collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.subject_id, r.project_id), []).append((r.number, r.id))
+    want = {i for g in groups.values() for _, i in sorted(g, reverse=True)[3:] if i % 10}
+    got = {r.id for r in QUERIES["retention_protected"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and not any(i % 10 == 0 for i in got)
+    rows = [(i, "s", "p", i) for i in (10, 9, 8, 7, 6, 20, 5)]
+    df = spark.createDataFrame(rows, "id long, subject_id string, project_id string, number long")
+    assert {r.id for r in H.keep_newest(df, ["subject_id", "project_id"], "number", 3, df.where("id % 10 = 0")).collect()} == {8, 7, 6, 5}
+
+
+def test_history_lists_every_subject(spark):
+    subjects = Counter(r.subject_id for r in A.analyses(spark, "/root/testdata/sf0.001").collect())
+    got = Counter(r.subject_id for r in QUERIES["history_of_subjects"](spark, "/root/testdata/sf0.001").collect())
+    assert got == {s: min(n, 50) for s, n in subjects.items()}
