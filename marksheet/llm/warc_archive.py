@@ -8,7 +8,8 @@ Reading: records that are whole are decoded and checked where they are read; of
 grouped by origin, ordered by segment number, checked against the total length, joined and decoded.
 
 Defined results: null html is an empty payload; a null url is written as "urn:none"; rows that repeat a page_id are
-each written; a null page_id can't name a record and is refused by a ValueError in the task; extra columns are ignored.
+each written; a null page_id is written without one and read back as null, always as a response; extra columns are
+ignored. Pages are taken in runs of bounded bytes, so no task holds more than one of them and one long page.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise, shared_dir
+from .textbuf import runs
 
 SEGMENT_BYTES, CHUNK_BYTES, DEDUPE_BYTES = 16_384, 4_096, 100
 DATE = "2024-01-01T00:00:00Z"
@@ -65,9 +67,11 @@ def record(kind: str, headers: dict[str, object], block: bytes) -> bytes:
     return gzip.compress(text.encode() + block + b"\r\n\r\n", 1, mtime=0)
 
 
-def page_records(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, place: str) -> Iterator[bytes]:
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, place: str) -> Iterator[bytes]:
     """digest and refers_to say what the page's record is; place is of this record alone."""
-    own = {"WARC-Record-ID": record_uri(place, 1), "WARC-Target-URI": re.sub(r"[\r\n]", " ", url or "urn:none"), "WARC-Payload-Digest": f"sha256:{digest}", "X-Page-ID": page_id, "X-Payload-Length": len(payload)}
+    own = {"WARC-Record-ID": record_uri(place, 1), "WARC-Target-URI": re.sub(r"[\r\n]", " ", url or "urn:none"), "WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": len(payload), "Content-Type": "application/http; msgtype=response"}
+    if page_id is not None:
+        own["X-Page-ID"] = page_id
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
         more = {"X-Refers-To-Page": refers_to, "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
@@ -120,16 +124,14 @@ def write_warc(pages: DataFrame, folder: str | None = None, segment_bytes: int =
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, path, n = None, "", 0
-        for batch in batches:
-            for page_id, url, text, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if page_id is None:
-                    raise ValueError("a page without page_id can't be archived")
+        for run in runs(batches, "html"):
+            for page_id, url, text, digest, refers_to in zip(*(c.to_pylist() for c in run.rows.columns), strict=True):
                 if sink is None:
                     fs, root = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(root, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     sink, path = fs.open_output_stream(f"{root}/{name}", compression=None), f"{folder}/{name}"
-                    sink.write(record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>"}, b"format: WARC File Format 1.1\r\n"))
+                    sink.write(record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
                 for part in page_records(page_id, url, (text or "").encode(), digest, refers_to, segment_bytes, f"{path}/{n}"):
                     sink.write(part)
                     n += 1
@@ -150,7 +152,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def checked(page_id: int, digest: str, length: int, block: bytes) -> bytes:
+def checked(page_id: int | None, digest: str, length: int, block: bytes) -> bytes:
     payload = payload_of(block)
     if len(payload) != length or hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError(f"page {page_id}: the payload doesn't match its digest and length")
@@ -190,9 +192,9 @@ def read_warc(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
 
     def reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for parts in batch.column(1).to_pylist():
-                parts = sorted(parts, key=lambda p: p["segment"])
+            out, held = [], 0
+            for record_parts in batch.column(1):
+                parts = sorted(record_parts.as_py(), key=lambda p: p["segment"])
                 first = parts[0]
                 payload = first["payload"]
                 if first["segment"]:
@@ -202,6 +204,10 @@ def read_warc(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
                     payload = checked(first["page_id"], first["payload_digest"], first["payload_bytes"], block)
                     payload = payload if keep_payload else None
                 out.append((*(first[k] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")), payload))
+                held += len(payload or b"")
+                if held > 4_000_000:
+                    yield _batch(out, PAGE)
+                    out, held = [], 0
             if out:
                 yield _batch(out, PAGE)
 
