@@ -24,7 +24,7 @@ def op2_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return shingle_join.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), shingle_join.Rule(words=4, percent=85))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
