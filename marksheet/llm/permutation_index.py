@@ -53,12 +53,12 @@ def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 
 class Footrule:
-    """How near orders are to that of a query: length - |place - place| for each common pivot, summed. This is the
-    footrule distance (absent pivots at place length) but for sign and a constant."""
+    """How near orders are to that of a query: length less the greater of both places, summed over common pivots. Twice
+    this and the footrule distance (absent pivots at place length) have one sum for all orders."""
 
     def __init__(self, n_pivots: int, length: int) -> None:
         place = np.arange(length)
-        self.gain = (length - np.abs(place[:, None] - place)).astype(np.int16)
+        self.gain = (length - np.maximum(place[:, None], place)).astype(np.int16)
         self.table, self.place, self.length = np.zeros((n_pivots, length), np.int16), np.full(n_pivots, length, np.int16), length
         self.order: np.ndarray | None = None
 
