@@ -22,7 +22,7 @@ def test_stages(spark):
         elif name == "language":
             assert all(any(c.isalpha() for c in texts[d]) for d in after) and len(after) > 0.95 * len(before)
         elif name == "near_duplicates":
-            found = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs).collect()}
+            found = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs, shingle_join.Rule(words=5, percent=80)).collect()}
             assert after == set(found.values())
         else:
             bad = {r.doc_id for r in decontaminate.find_contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
