@@ -15,28 +15,32 @@ from marksheet.llm.shared import materialise, read_table, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the factorisation machine predicts as bad."""
+    """Drops what the factorisation machine predicts as bad. Null and empty texts are scored like any other; without a
+    label to learn from, nothing is dropped."""
     return quality_fm.keep_good(docs, quality_fm.fit_on(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no letter, or no language that is likelier than all others together."""
+    """Drops what has no letter (so null and empty texts), or no language that stands out: a score below one half."""
     return language_id.keep_known(docs, language_id.fit_on(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document of smallest id stays."""
-    found = shingle_join.near_duplicates(docs)
+    """Of each component of near duplicates (five words, similarity 0.8), the document of smallest id stays, with all its rows.
+
+    Documents without words stay; rows without doc_id stay, as nothing can name them."""
+    found = shingle_join.near_duplicates(docs, shingle_join.Rule(words=5, percent=80))
     return without(docs, found.where(F.col("doc_id") != F.col("component_id")))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, also with other numbers, names or units."""
+    """Drops documents that hold a benchmark item, also with other numbers, names or units; of rows that repeat a doc_id, all
+    go if one of them holds an item. Null and empty texts hold none; rows without doc_id stay."""
     return without(docs, decontaminate.find_contaminated(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of what is left, a row for each; null texts count as empty."""
     return bpe_replay.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
