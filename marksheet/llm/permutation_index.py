@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by the order of its LENGTH nearest pivots and posted in the inverted files of the first POSTS
-of them. A query visits the files of its own LENGTH nearest pivots. What is posted there is ranked by the footrule
+of them. A query visits the files of its first VISITS pivots. What is posted there is ranked by the footrule
 distance of the orders, over all visited files together: a vector counts in the first visited file that it is posted
 in, and those within the query's cut are ranked by the inner product. The cut is the distance within which about
 RERANK of the vectors lie, read off a bounded sample. Large inner products are made near neighbours by one more
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-LENGTH, POSTS = 64, 6
-PIVOTS, MAX_PIVOTS, CUT_SAMPLE = 2.0, 32_768, 8_192
+LENGTH, POSTS, VISITS = 64, 8, 32
+PIVOTS, MAX_PIVOTS, CUT_SAMPLE = 2.0, 32_768, 4_096
 #: How many of n vectors a query ranks by the inner product: RERANK[0] * n ** RERANK[1].
-RERANK = (7.0, 0.6)
+RERANK = (5.5, 0.6)
 #: A file is cut into blocks of about so many entries and queries.
 BLOCK_ENTRIES, BLOCK_QUERIES = 16_384, 2_048
 
@@ -59,7 +59,7 @@ class Footrule:
     def __init__(self, n_pivots: int, length: int) -> None:
         place = np.arange(length)
         self.gain = (length - np.maximum(place[:, None], place)).astype(np.int16)
-        self.table, self.place, self.length = np.zeros((n_pivots, length), np.int16), np.full(n_pivots, length, np.int16), length
+        self.table, self.place, self.length = np.zeros((n_pivots, length), np.int16), np.full(n_pivots, length, np.int16), length  # place: absent ones are last
         self.order: np.ndarray | None = None
 
     def cells(self, perm: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 for i in np.flatnonzero(query) if place < len(cells) else ():
                     rule.ask(order[i])
                     cut[i] = -np.partition(-rule.near(cells), place)[place]
-                files = order[:, : length if query.all() else POSTS].astype(np.int32)
+                files = order[:, : VISITS if query.all() else POSTS].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(files) + 1, dtype=np.int32) * files.shape[1]), pa.array(files.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in flat], pa.binary()), pa.array([o.tobytes() for o in order], pa.binary()), pa.array(cut), lists], names=["id", "vec", "perm", "cut", "files"])
 
