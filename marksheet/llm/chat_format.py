@@ -13,7 +13,8 @@ back exactly.
 The loss mask covers the escaped texts of assistant messages.
 
 Defined results: an empty log gives no rows; a null conv_id is a conversation of its own; repeated rows are events
-of their own; extra columns are ignored. A conversation is one output row, so its size is bounded by that row.
+of their own; extra columns are ignored. A conversation is one output row, so its size is bounded by that row; before
+that, its log streams through windows that spill.
 """
 
 from __future__ import annotations
@@ -39,35 +40,28 @@ def unescaped(text: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """(conv_id, seq, kind, role, text) to the messages that stand at the end: (conv_id, turn, role, text)."""
+    """(conv_id, seq, kind, role, text) to the messages that stand at the end: (conv_id, turn, role, text).
+
+    One shuffle by conversation; all else are running windows over its log, linear in its length."""
     rows = events.select(
         "conv_id", "seq", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("message").alias("kind"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    # Each conversation's events, as one sorted array, are folded by a native higher-order function. What stands is
-    # an array of (role, parts); the parts are joined once at the end, so many deltas cost no repeated copies.
-    log = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text")))
-    empty = F.expr("cast(array() as array<struct<role: string, parts: array<string>>>)")
-
-    def step(done: Column, e: Column) -> Column:
-        size = F.size(done)
-        rest = F.when(size > 0, F.slice(done, 1, F.greatest(size - 1, F.lit(0)))).otherwise(done)
-        begun = F.array(F.struct(e["role"].alias("role"), F.array(e["text"]).alias("parts")))
-        same = (size > 0) & (F.try_element_at(done, F.lit(-1))["role"] == e["role"])
-        grown = F.array(F.struct(F.try_element_at(done, F.lit(-1))["role"].alias("role"), F.concat(F.try_element_at(done, F.lit(-1))["parts"], F.array(e["text"])).alias("parts")))
-        last_of_role = F.array_max(F.transform(done, lambda m, i: F.when(m["role"] == e["role"], i).otherwise(F.lit(-1))))
-        edited = F.transform(done, lambda m, i: F.when(i == last_of_role, begun[0]).otherwise(m))
-        return (
-            F.when((e["kind"] == "delta") & same, F.concat(rest, grown))
-            .when((e["kind"] == "edit") & (F.coalesce(last_of_role, F.lit(-1)) >= 0), edited)
-            .when((e["kind"] == "regenerate") & same, F.concat(rest, begun))
-            .otherwise(F.concat(done, begun))
-        )
-
-    plain = ~F.exists("log", lambda e: e["kind"] != "message")
-    direct = F.transform("log", lambda e: F.struct(e["role"].alias("role"), F.array(e["text"]).alias("parts")))
-    folded = F.when(plain, direct).otherwise(F.aggregate("log", empty, step))
-    kept = rows.groupBy("conv_id").agg(log.alias("log")).select("conv_id", folded.alias("kept"))
-    return kept.select("conv_id", F.posexplode("kept").alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), F.col("m.role").alias("role"), F.array_join("m.parts", "").alias("text"))
+    log = Window.partitionBy("conv_id").orderBy("seq", "kind", "role", "text")
+    rows = rows.withColumn("at", F.row_number().over(log))
+    own, own_role = Window.partitionBy("conv_id").orderBy("at"), Window.partitionBy("conv_id", "role").orderBy("at")
+    before, so_far = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.currentRow)
+    # An edit finds a message of its role unless it is the first event of that role; every other event leaves the newest
+    # message with its own role, so the newest role is that of the last event that isn't such an edit.
+    rows = rows.withColumn("edits", (F.col("kind") == "edit") & (F.row_number().over(own_role) > 1))
+    newest = F.last(F.when(~F.col("edits"), F.col("role")), ignorenulls=True).over(own.rowsBetween(*before))
+    begins = (F.col("kind") == "message") | (F.col("kind") == "edit") & ~F.col("edits") | F.col("kind").isin("delta", "regenerate") & ~newest.eqNullSafe(F.col("role"))
+    rows = rows.withColumn("begins", begins).withColumn("turn", F.sum(F.col("begins").cast("long")).over(own.rowsBetween(*so_far)))
+    # The message that an event is about: for an edit the newest of its role. What stands begins at its last reset.
+    rows = rows.withColumn("turn", F.last(F.when(~F.col("edits"), F.col("turn")), ignorenulls=True).over(own_role.rowsBetween(*so_far)))
+    reset = F.max(F.when(F.col("begins") | (F.col("kind") != "delta"), F.col("at"))).over(Window.partitionBy("conv_id", "turn"))
+    kept = rows.withColumn("reset", reset).where(F.col("at") >= F.col("reset"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda p: p["text"])
+    return kept.groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.array_join(parts, "").alias("text")).select("conv_id", (F.col("turn") - 1).alias("turn"), "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:
