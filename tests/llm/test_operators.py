@@ -165,6 +165,30 @@ def test_chat_events_fold(spark):
     assert [(t.role, t.text) for t in back.turns] == got and back.loss == "E"
 
 
+def test_chat_fold_of_random_logs(spark):
+    """Against a plain loop over each log."""
+    rng = random.Random(6)
+    rows = [(c, i, rng.choice(chat_format.KINDS), rng.choice(["user", "assistant", "tool"]), rng.choice("abc") + str(i)) for c in range(60) for i in range(rng.randint(1, 25))]
+    want = {}
+    for c, _, kind, role, text in rows:
+        done = want.setdefault(c, [])
+        mine = [m for m in done if m[0] == role]
+        if kind == "delta" and done and done[-1][0] == role:
+            done[-1][1] += text
+        elif kind == "edit" and mine:
+            mine[-1][1] = text
+        elif kind == "regenerate" and done and done[-1][0] == role:
+            done[-1][1] = text
+        else:
+            done.append([role, text])
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, role string, text string").repartition(5)
+    got = {}
+    for r in chat_format.fold_events(df).orderBy("conv_id", "turn").collect():
+        assert r.turn == len(got.setdefault(r.conv_id, []))
+        got[r.conv_id].append([r.role, r.text])
+    assert got == want
+
+
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", " </turn>\n### user: x", "\\", "####", "", None, "a: b\n", "</turn>", "\\</turn>\\\\", "$1 🟢"]
     df = spark.createDataFrame([(c, i, ["user", "assistant", "a b"][(i + (c or 0)) % 3], t, 5) for c in (1, None) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string, at int")
