@@ -42,8 +42,9 @@ def status_filter(status: Column) -> Column:
 
 
 def test_origin(category: Column, provenance: Column) -> Column:
-    """Which kind of test a check is: its category decides, then where it came from."""
-    return F.when(category == "explicit_tests", "explicit").when(category == "derived_tests", "derived").when(category == "heuristic_tests", "heuristic").otherwise(F.coalesce(provenance, F.lit("explicit")))
+    """Which kind of test a check is: heuristic or derived if its category or its provenance says so, else explicit."""
+    of = lambda kind: (category == f"{kind}_tests") | (provenance == kind)
+    return F.when(of("heuristic"), "heuristic").when(of("derived"), "derived").otherwise("explicit")
 
 
 def requirement_outcome(required: Column, bonus: Column) -> Column:

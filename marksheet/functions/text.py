@@ -11,14 +11,16 @@ def collapse_ws(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
-def excerpt(s: Column, limit: int = 80) -> Column:
-    return F.when(F.length(s) <= limit, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, limit - 1)), F.lit("…")))
+def excerpt(s: Column, limit: int = 300) -> Column:
+    """Trimmed, cut to a length with an ellipsis."""
+    out = F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")
+    return F.when(F.length(out) <= limit, out).otherwise(F.concat(F.regexp_replace(F.substring(out, 1, limit - 1), r"(?U)\s+\z", ""), F.lit("…")))
 
 
 def visible(s: Column) -> Column:
     """Invisible characters as symbols; carriage returns first."""
     out = s
-    for raw, shown in (("\r", "␍"), ("\n", "⏎"), ("\t", "→"), (" ", "·")):
+    for raw, shown in (("\r", "␍"), ("\n", "↵"), ("\t", "→"), (" ", "·")):
         out = F.replace(out, F.lit(raw), F.lit(shown))
     return out
 
@@ -41,18 +43,26 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve)["lo"]
 
 
-def line_kind(expected: Column, actual: Column) -> Column:
-    """Why two lines differ, as far as built-in predicates tell; the first that fits."""
-    squeezed = lambda s: F.regexp_replace(s, r"\s+", "")
+def line_text(line: Column) -> Column:
+    """A line of lines_kept() without its end."""
+    return F.regexp_replace(line, r"\r?\n\z", "")
+
+
+def line_end(line: Column) -> Column:
+    return F.regexp_extract(line, r"\r?\n\z", 0)
+
+
+def line_kind(expected: Column, actual: Column, small_edits: Column) -> Column:
+    """Why two lines of lines_kept() that differ do so; the first that fits. Their ends count only where the texts are equal.
+    small_edits: at most two edits of three characters in all."""
+    a, b, ea, eb = line_text(expected), line_text(actual), line_end(expected), line_end(actual)
+    trimmed = lambda s: F.regexp_replace(s, r"(?U)\s+\z", "")
+    squeezed = lambda s: F.regexp_replace(s, r"(?U)\s+", "")
+    ends = F.when((F.length(ea) > 0) & (F.length(eb) > 0), "crlf").when(F.length(ea) > 0, "missing_newline").otherwise("extra_newline")
     return (
-        F.when(expected == actual, "equal")
-        .when(F.regexp_replace(expected, r"[\r\n]+\z", "") == F.regexp_replace(actual, r"[\r\n]+\z", ""), "eol")
-        .when(F.rtrim(expected) == F.rtrim(actual), "trailing_ws")
-        .when(F.lower(expected) == F.lower(actual), "case")
-        .when(squeezed(expected) == squeezed(actual), "whitespace")
-        .when(F.levenshtein(expected, actual, 2) >= 0, "typo")
-        .otherwise("different")
-    )
+        F.when(a == b, ends).when(trimmed(a) == trimmed(b), "trailing_whitespace").when(F.lower(a) == F.lower(b), "case").when(squeezed(a) == squeezed(b), "whitespace")
+        .when(small_edits, "typo").otherwise("different")
+    )
 
 
 # ---------------------------------------------------------------- paths
@@ -87,13 +97,28 @@ def redact_credentials(url: Column) -> Column:
     return F.regexp_replace(url, r"(?<=://)[^/@\s]+@", "***@")
 
 
-def glob_regex(pattern: str) -> str:
-    """Like .gitignore: no slash matches a name at any depth, an inner slash anchors, a last slash asks for a folder."""
+def glob_regex(pattern: str) -> str | None:
+    """A forbidden pattern as a regular expression on whole paths; None for blanks, comments and negations. Without an inner
+    slash it is about names at any depth, with one about the path from the root; * and ? also match slashes there; sets in
+    brackets, ! negating them; case counts."""
     import re
 
-    core = pattern.rstrip("/").removeprefix("**/")
-    out = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in core.replace("**", "\0")).replace(re.escape("\0"), ".*")
-    return ("^" if "/" in core else "(^|.*/)") + out + "$"
+    core = pattern.strip()
+    if not core or core[0] in "#!":
+        return None
+    core = core.rstrip("/").removeprefix("**/")
+    anchored = "/" in core
+    core, out, any_one = core.lstrip("/"), "", "." if anchored else "[^/]"
+    while core:
+        m = re.match(r"\[(!?\]?[^\]]*)\]", core)
+        if m:
+            inner = m[1].replace("\\", "\\\\").replace("]", "\\]").replace("[", "\\[").replace("&&", "&\\&")
+            out += f"[^{inner[1:]}]" if inner.startswith("!") else f"[{inner}]".replace("[^", "[\\^")
+            core = core[m.end() :]
+        else:
+            out += {"*": any_one + "*", "?": any_one}.get(core[0]) or re.sub(r"([^\w/])", r"\\\1", core[0])
+            core = core[1:]
+    return f"(?s)^{'' if anchored else '(.*/)?'}{out}$"
 
 
 # ---------------------------------------------------------------- typed values

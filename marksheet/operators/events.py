@@ -31,9 +31,12 @@ def prompt_groups(events: DataFrame) -> DataFrame:
     return rows.groupBy("job_id", "grp").agg(text.alias("prompt"), F.max(F.when(F.col("kind") == "input", F.col("text"))).alias("answer"))
 
 
-def after_consuming(events: DataFrame, chars: int) -> DataFrame:
-    """Output events that begin after so many characters."""
-    return output_offsets(events).where(F.col("start_off") >= chars)
+def after_consuming(events: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Events of the call itself: of each job, those before which at least consumed(job_id, chars) characters were printed
+    (null or 0: all). Of any kind; once reached, all later ones."""
+    before = F.sum(F.when(F.col("kind") == "output", F.length("text")).otherwise(0)).over(Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = events.withColumn("printed", F.coalesce(before, F.lit(0))).join(consumed, "job_id", "left")
+    return rows.where(F.col("printed") >= F.coalesce("chars", F.lit(0))).drop("printed", "chars")
 
 
 def steps_io(steps: DataFrame) -> DataFrame:
@@ -43,12 +46,18 @@ def steps_io(steps: DataFrame) -> DataFrame:
 
 
 def merge_steps(steps: DataFrame) -> DataFrame:
-    """Neighbouring steps of one kind become one."""
+    """Neighbouring outputs become one, inputs stay; empty outputs are dropped first. A last output loses its blank tail but
+    for one line end, and goes if it is blank."""
     w = Window.partitionBy("session_id").orderBy("step_no")
-    new = F.coalesce((F.col("kind") != F.lag("kind").over(w)).cast("int"), F.lit(1))
-    rows = steps.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = steps.where("kind <> 'output' or text <> ''")
+    new = (F.col("kind") != "output") | ~F.coalesce(F.lag("kind").over(w) == "output", F.lit(False))
+    rows = kept.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_no", "text"))), lambda s: s["text"]), "")
-    return rows.groupBy("session_id", "island", "kind").agg(text.alias("text"), F.count("*").alias("steps"))
+    merged = rows.groupBy("session_id", "island", "kind").agg(text.alias("text"), F.count("*").alias("steps"))
+    last = (F.col("island") == F.max("island").over(Window.partitionBy("session_id"))) & (F.col("kind") == "output")
+    cut = F.regexp_replace("text", r"(?:\n[ \t]*)+\z", "\n")
+    tail = F.when(F.endswith(cut, F.lit("\n")), cut).otherwise(F.concat(cut, F.lit("\n")))
+    return merged.withColumn("last", last).where(~F.col("last") | F.col("text").rlike(r"(?U)\S")).withColumn("text", F.when(F.col("last"), tail).otherwise(F.col("text"))).drop("last")
 
 
 def merge_intervals(spans: DataFrame) -> DataFrame:

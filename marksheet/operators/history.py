@@ -11,14 +11,15 @@ PAIR = ("subject_id", "project_id")
 
 
 def compare_runs(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Checks of two runs by pair_id and check_id, a row for each list that a change is in."""
+    """Checks of two runs by pair_id and check_id, a row for each list that a change is in. Fixed is what failed, was skipped
+    or warned and passes now."""
     b = base.select("pair_id", "check_id", F.col("status").alias("before"))
     h = head.select("pair_id", "check_id", F.col("status").alias("after"))
     both = b.join(h, ["pair_id", "check_id"], "full_outer")
     was, now = F.coalesce(F.col("before").isin(*schema.FAILING), F.lit(False)), F.coalesce(F.col("after").isin(*schema.FAILING), F.lit(False))
     lists = F.array_compact(
         F.array(
-            F.when(was & F.col("after").isin(*schema.PASSED), "fixed"), F.when(~was & now, "new_failures"), F.when(was & now, "still_failing"), F.when(F.col("before").isNull(), "new_checks"), F.when(F.col("after").isNull(), "removed_checks")
+            F.when(F.col("before").isin(*schema.FIXABLE) & (F.col("after") == "pass"), "fixed"), F.when(~was & now, "new_failures"), F.when(was & now, "still_failing"), F.when(F.col("before").isNull(), "new_checks"), F.when(F.col("after").isNull(), "removed_checks")
         )
     )
     return both.select("pair_id", "check_id", "before", "after", F.explode(lists).alias("change"))
@@ -36,9 +37,14 @@ def latest_runs(analyses: DataFrame) -> DataFrame:
 
 
 def previous_analysis(analyses: DataFrame) -> DataFrame:
-    """Here by number first, then time."""
-    w = Window.partitionBy(*PAIR).orderBy("number", "created_at", "id")
-    return analyses.withColumn("previous_id", F.lag("id").over(w))
+    """The latest run of a smaller number, by number, then time; runs of one number have the same."""
+    below = Window.partitionBy(*PAIR).orderBy("number").rangeBetween(Window.unboundedPreceding, -1)
+    return analyses.withColumn("previous_id", F.max(F.struct("number", "created_at", "id")).over(below)["id"])
+
+
+def readiness_change(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(pair_id, readiness) of two runs: the change to one decimal, half to even."""
+    return base.select("pair_id", F.col("readiness").alias("before")).join(head.select("pair_id", F.col("readiness").alias("after")), "pair_id").select("pair_id", F.bround(F.col("after") - F.col("before"), 1).alias("readiness_delta"))
 
 
 def next_numbers(analyses: DataFrame) -> DataFrame:

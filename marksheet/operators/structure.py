@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,34 +11,66 @@ from marksheet.functions import scores as S
 from marksheet.functions import text as X
 
 
-def match_requirements(required: DataFrame, tree: DataFrame) -> DataFrame:
-    """required(project_id, path, required, bonus) to the file that answers each: by path, by path in another case, or
-    one of the same name elsewhere; each file answers one requirement, exact paths first, then in path order."""
-    files = tree.where("kind = 'file'").select("project_id", F.col("path").alias("found"))
-    exact = required.join(files.withColumn("path", F.col("found")), ["project_id", "path"]).withColumn("how", F.lit("exact"))
-    rest, free = required.join(exact.select("project_id", "path"), ["project_id", "path"], "left_anti"), files.join(exact.select("project_id", "found"), ["project_id", "found"], "left_anti")
-
-    def claim(todo: DataFrame, pool: DataFrame, key, how: str) -> DataFrame:
-        pair = todo.withColumn("key", key(F.col("path"))).join(pool.withColumn("key", key(F.col("found"))), ["project_id", "key"])
-        depth = F.size(F.split("found", "/"))
-        a = pair.withColumn("nth", F.dense_rank().over(Window.partitionBy("project_id", "key").orderBy("path"))).withColumn("mth", F.dense_rank().over(Window.partitionBy("project_id", "key").orderBy(depth, "found")))
-        return a.where("nth = mth").drop("key", "nth", "mth").withColumn("how", F.lit(how))
-
-    cased = claim(rest, free, F.lower, "wrong_case")
-    rest, free = rest.join(cased.select("project_id", "path"), ["project_id", "path"], "left_anti"), free.join(cased.select("project_id", "found"), ["project_id", "found"], "left_anti")
-    moved = claim(rest, free, lambda p: F.lower(X.basename(p)), "misplaced")
-    missing = rest.join(moved.select("project_id", "path"), ["project_id", "path"], "left_anti").withColumn("found", F.lit(None).cast("string")).withColumn("how", F.lit("missing"))
+#: Folders in which nothing is looked for.
+IGNORED_FOLDERS = ["__MACOSX", ".git", "node_modules", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache"]
+
+
+def match_requirements(required: DataFrame, tree: DataFrame, root: str = "", forbidden_folders: list[str] | None = None) -> DataFrame:
+    """required(project_id, pos, path, kind, required, bonus) to what answers each: the path itself, the path in another
+    case, or the best of the same name elsewhere (exact name, below root, most folders in common, fewest folders, path).
+    Nothing in an ignored or forbidden folder answers by name. Each entry of tree(project_id, path, kind) answers one
+    requirement; in each pass the first by pos chooses first.
+
+    The passes are joins. Choosing in turn is a fold over the candidates of one base name of a project, so it runs in
+    groups of that size."""
+    entries = tree.select("project_id", "kind", F.col("path").alias("found"))
+    exact = required.join(entries.withColumn("path", F.col("found")), ["project_id", "kind", "path"]).withColumn("how", F.lit("exact"))
+    first = Window.partitionBy("project_id", "found").orderBy("pos")
+
+    def left(pool: DataFrame, taken: DataFrame, *keys: str) -> DataFrame:
+        return pool.join(taken.select("project_id", *keys), ["project_id", *keys], "left_anti")
+
+    rest, free = left(required, exact, "pos"), left(entries, exact, "found")
+    # Of entries that are one path in another case, the smallest is looked at.
+    folded = entries.groupBy("project_id", F.lower("found").alias("low")).agg(F.min(F.struct("found", "kind")).alias("e")).select("project_id", "low", "e.found", "e.kind")
+    cased = rest.withColumn("low", F.lower("path")).join(folded.join(free.select("project_id", "found"), ["project_id", "found"], "left_semi"), ["project_id", "kind", "low"])
+    cased = cased.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "low").withColumn("how", F.lit("case"))
+    rest, free = left(rest, cased, "pos"), left(free, cased, "found")
+    folders = F.slice(F.split("found", "/"), 1, F.size(F.split("found", "/")) - 1)
+    wanted = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    hidden = F.exists(folders, lambda f: f.isin(*IGNORED_FOLDERS))
+    patterns = [X.glob_regex(p.rstrip("/")) for p in forbidden_folders or []]
+    hidden |= F.exists(folders, lambda f: functools.reduce(lambda a, p: a | f.rlike(p), patterns, F.lit(False)))
+    differs = F.zip_with(folders, wanted, lambda a, b: ~a.eqNullSafe(b))
+    common = F.coalesce(F.array_min(F.transform(differs, lambda d, i: F.when(d, i))), F.size(folders))
+    below = F.lit(root == "") | (F.col("found") == root) | F.startswith("found", F.lit(root + "/"))
+    rank = F.struct((X.basename(F.col("found")) != X.basename(F.col("path"))).alias("a"), (~below).alias("b"), (-common).alias("c"), F.size(folders).alias("d"), F.col("found").alias("e"))
+    named = rest.withColumn("name", F.lower(X.basename(F.col("path")))).join(free.withColumn("name", F.lower(X.basename(F.col("found")))), ["project_id", "kind", "name"]).where(~hidden)
+    choices = named.groupBy("project_id", "kind", "name", "pos").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["e"]).alias("choices"))
+    queue = choices.groupBy("project_id", "kind", "name").agg(F.array_sort(F.collect_list(F.struct("pos", "choices"))).alias("queue"))
+    none = F.expr("cast(array() as array<struct<pos: bigint, found: string>>)")
+    pick = lambda done, q: F.concat(done, F.array(F.struct(q["pos"].cast("long").alias("pos"), F.try_element_at(F.filter(q["choices"], lambda c: ~F.exists(done, lambda d: d["found"].eqNullSafe(c))), F.lit(1)).alias("found"))))
+    moved = queue.select("project_id", F.inline(F.aggregate("queue", none, pick))).where("found is not null")
+    moved = rest.join(moved, ["project_id", "pos"]).withColumn("how", F.lit("misplaced"))
+    missing = left(rest, moved, "pos").withColumn("found", F.lit(None).cast("string")).withColumn("how", F.lit("missing"))
     every = exact.unionByName(cased).unionByName(moved).unionByName(missing)
     outcome = S.requirement_outcome(F.col("required"), F.col("bonus"))
     return every.withColumn("status", F.when(F.col("how") == "exact", "pass").otherwise(outcome["status"]))
 
 
+def with_folders(tree: DataFrame) -> DataFrame:
+    """tree with a row of kind directory for every folder above its entries."""
+    above = tree.select("project_id", F.explode(X.parents(F.col("path"))).alias("path")).where("path is not null").distinct()
+    known = tree.where("kind = 'directory'").select("project_id", "path")
+    return tree.select("project_id", "path", "kind").unionByName(above.join(known, ["project_id", "path"], "left_anti").withColumn("kind", F.lit("directory")))
+
+
 def unwanted(tree: DataFrame, patterns: list[str]) -> DataFrame:
-    """Paths that a pattern forbids, with the first that does; of those, only the outermost."""
-    tests = [F.when(F.col("path").rlike(X.glob_regex(p)) & ((F.col("kind") == "dir") | F.lit(not p.endswith("/"))), F.lit(p)) for p in patterns]
-    hit = tree.withColumn("pattern", F.coalesce(*tests)).where("pattern is not null")
-    above = tree.select("project_id", "path", F.explode(X.parents(F.col("path"))).alias("folder")).where("folder is not null")
-    inside = above.join(hit.select("project_id", F.col("path").alias("folder")), ["project_id", "folder"], "left_semi").select("project_id", "path").distinct()
+    """Paths that a pattern forbids, with the first that does; of those, only the outermost. x/ is about folders."""
+    tests = [F.when(F.col("path").rlike(r) & (F.lit(not p.strip().endswith("/")) | (F.col("kind") == "directory")), F.lit(p)) for p in patterns if (r := X.glob_regex(p))]
+    hit = tree.withColumn("pattern", F.coalesce(F.lit(None).cast("string"), *tests)).where("pattern is not null")
+    above = hit.select("project_id", "path", F.explode(X.parents(F.col("path"))).alias("folder")).where("folder is not null")
+    inside = above.join(hit.where("kind = 'directory'").select("project_id", F.col("path").alias("folder")), ["project_id", "folder"], "left_semi").select("project_id", "path").distinct()
     return hit.join(inside, ["project_id", "path"], "left_anti")
 
 

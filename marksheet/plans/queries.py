@@ -55,66 +55,123 @@ def flagship_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.category_scores(deduped(spark, sf_dir)).drop("place")
 
 
-@query(f"WITH {A.CHECKS} SELECT run_id, check_id, status, severity, position FROM deduped")
+@query(f"WITH {A.CHECKS} SELECT run_id, check_id, status, severity, position.hi AS position_hi, position.lo AS position_lo FROM deduped")
 def dedupe_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduped(spark, sf_dir).select("run_id", "check_id", "status", "severity", "position")
+    return deduped(spark, sf_dir).select("run_id", "check_id", "status", "severity", F.col("position.hi").alias("position_hi"), F.col("position.lo").alias("position_lo"))
 
 
 @query(f"""WITH {A.CHECKS}, g AS (SELECT run_id, count(*) FILTER (WHERE counted) AS total, count(*) FILTER (WHERE counted AND status IN ('pass','warning')) AS passed, count(*) FILTER (WHERE counted AND status IN ('fail','skipped')) AS failures,
   coalesce(bool_or(counted AND status IN ('fail','skipped') AND severity = 'critical'), false) AS critical,
   {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS n_{s}" for s in schema.STATUS_REPORT)}, {', '.join(f"count(*) FILTER (WHERE status IN ('fail','skipped') AND severity = '{s}') AS failing_{s}" for s in schema.SEVERITY)}
   FROM counted GROUP BY run_id)
-SELECT *, {pct('passed', 'total')} AS readiness, CASE WHEN total > 0 AND failures = 0 THEN 'ready' ELSE 'not_ready' END AS verdict FROM g""")
+SELECT *, coalesce({pct('passed', 'total')}, 0) AS readiness, CASE WHEN total > 0 AND failures = 0 THEN 'ready' ELSE 'not_ready' END AS verdict,
+  CASE WHEN total = 0 THEN '{schema.NO_REQUIREMENT}' WHEN failures = 0 THEN '{schema.READY}' ELSE failures || ' mandatory failure(s) remain.' || CASE WHEN critical THEN '{schema.CRITICAL_FIRST}' ELSE '' END END AS message FROM g""")
 def run_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.readiness(deduped(spark, sf_dir))
 
 
-@query(f"""WITH {A.CHECKS}, ex AS (SELECT 'ex' || i AS exercise_id, 'src/m' || (i % 5) || '.py' AS file FROM range(7) t(i)), m AS (
-  SELECT c.run_id, c.exercise_id, c.status, c.counted FROM counted c WHERE exercise_id IN (SELECT exercise_id FROM ex)
-  UNION ALL SELECT c.run_id, ex.exercise_id, c.status, c.counted FROM counted c JOIN ex USING (file) WHERE c.exercise_id IS NULL OR c.exercise_id NOT IN (SELECT exercise_id FROM ex)),
-g AS (SELECT run_id, exercise_id, count(*) FILTER (WHERE counted AND status IN ('pass','warning')) AS passed, count(*) FILTER (WHERE counted) AS total, count(*) FILTER (WHERE status IN ('fail','skipped','bonus','warning')) AS issues,
-  count(*) FILTER (WHERE counted AND status IN ('fail','skipped')) AS failures, count(*) FILTER (WHERE status = 'warning') AS warnings FROM m GROUP BY ALL)
-SELECT *, {pct('passed', 'total')} AS score, CASE WHEN total = 0 THEN 'untested' WHEN passed = 0 THEN 'failed' WHEN failures > 0 THEN 'partial' WHEN warnings > 0 THEN 'warning' ELSE 'complete' END AS state FROM g""")
+_SPEC = f"{A.CHECKS}, {A.RUNS}, {A.EXERCISES}, {A.FILES}, {A.LOCATED}"
+_PROGRESS = "(status IN ('pass','warning','fail','skipped','bonus') AND category <> 'heuristic_tests' AND (mandatory OR bonus OR ({o})))"
+_EXERCISES = f"""{_SPEC}, m AS (
+  SELECT l.*, ex.exercise_id AS eid, ex.functions, NOT ex.required AND NOT ex.bonus AS optional FROM located l JOIN ex ON located_exercise = ex.exercise_id
+  UNION ALL SELECT l.*, ex.exercise_id, ex.functions, NOT ex.required AND NOT ex.bonus FROM located l JOIN ex ON located_exercise IS NULL AND located_file = ex.file),
+n AS (SELECT *, {_PROGRESS.format(o='optional')} AS progress, diagnosis IN ('missing_function','bonus_not_implemented') AND status IN ('fail','skipped','bonus') AS gone FROM m),
+g AS (SELECT run_id, eid AS exercise_id, count(*) FILTER (WHERE progress AND status IN ('pass','warning')) AS passed, count(*) FILTER (WHERE progress) AS total, count(*) FILTER (WHERE status IN ('fail','skipped','bonus','warning')) AS issues,
+  bool_or(progress AND status IN ('fail','skipped','bonus')) AS failing, bool_or(status = 'warning') AS warned, bool_or(progress AND status IN ('pass','warning') AND category IN ('explicit_tests','derived_tests','output')) AS behaves,
+  bool_or(gone AND coalesce("function", '') = '' AND diagnosis = 'bonus_not_implemented') AS not_there, count(DISTINCT "function") FILTER (WHERE gone AND list_contains(functions, "function")) AS n_gone FROM n GROUP BY ALL),
+e AS (SELECT r.run_id, ex.*, coalesce(g.passed, 0) AS passed, coalesce(g.total, 0) AS total, coalesce(g.issues, 0) AS issues, lost.file IS NOT NULL AS gone_file, coalesce(failing, false) AS failing, coalesce(warned, false) AS warned,
+  coalesce(behaves, false) AS behaves, coalesce(not_there, false) OR (len(functions) > 0 AND coalesce(n_gone, 0) = len(functions)) AS not_there
+  FROM runs r JOIN ex USING (subject_id) LEFT JOIN g ON g.run_id = r.run_id AND g.exercise_id = ex.exercise_id LEFT JOIN lost ON lost.run_id = r.run_id AND lost.file = ex.file),
+scored AS (SELECT run_id, exercise_id, file, required, bonus, passed, total, {pct('passed', 'total')} AS score, issues, CASE WHEN bonus AND (gone_file OR not_there) THEN 'not_implemented' WHEN gone_file THEN 'missing' WHEN total = 0 THEN 'warning'
+  WHEN NOT failing THEN CASE WHEN warned THEN 'warning' ELSE 'pass' END WHEN behaves THEN 'partial' ELSE 'fail' END AS state FROM e)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Checks with their places, expected files, exercises and runs."""
+    rows, ex = deduped(spark, sf_dir), A.exercises(spark)
+    files = SC.expected_files(A.structure(spark), ex)
+    return SC.locate_checks(rows, files, ex), files, ex, A.runs(A.checks(spark, sf_dir))
+
+
+@query(f"WITH {_EXERCISES} SELECT * FROM scored")
 def exercise_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.exercise_scores(deduped(spark, sf_dir), A.exercises(spark))
+    located, _, ex, runs = _scored(spark, sf_dir)
+    return SC.exercise_scores(located, ex, runs)
+
+
+@query(f"WITH {_EXERCISES}, b AS (SELECT run_id, count(*) FILTER (WHERE bonus AND total > 0 AND state IN ('pass','warning')) AS bonus_passed, count(*) FILTER (WHERE bonus) AS bonus_total FROM scored GROUP BY run_id) SELECT *, {pct('bonus_passed', 'bonus_total')} AS bonus_completion FROM b")
+def bonus_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SC.bonus_completion(exercise_scores(spark, sf_dir))
+
+
+@query(f"WITH {A.EXERCISES}, {A.FILES} SELECT subject_id, path, kind, required, bonus FROM wanted")
+def expected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SC.expected_files(A.structure(spark), A.exercises(spark)).drop("pos")
+
 
+@query(f"WITH {_SPEC} SELECT run_id, check_id, located_file, located_exercise FROM located")
+def check_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)[0].select("run_id", "check_id", "located_file", "located_exercise")
 
-@query(f"""WITH {A.CHECKS}, g AS (SELECT run_id, file, count(*) FILTER (WHERE counted AND status IN ('pass','warning')) AS passed, count(*) FILTER (WHERE counted) AS total, count(*) FILTER (WHERE status IN ('fail','skipped','bonus','warning')) AS issues,
-  min(CASE WHEN status IN ('fail','skipped','bonus','warning') THEN coalesce(sr, 9) END) AS w, coalesce(string_agg(DISTINCT exercise_id, ',' ORDER BY exercise_id), '') AS exercise_ids FROM counted LEFT JOIN sev USING (severity) GROUP BY run_id, file)
-SELECT g.* EXCLUDE (w), {pct('passed', 'total')} AS score, (SELECT severity FROM sev WHERE sr = w) AS worst FROM g""")
+
+@query(f"WITH {_SPEC} SELECT * FROM lost")
+def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SC.missing_files(_scored(spark, sf_dir)[0])
+
+
+@query(f"""WITH {_SPEC}, m AS (SELECT l.*, w.path, sr, {_PROGRESS.format(o='NOT w.required AND NOT w.bonus').replace('OR bonus OR', 'OR l.bonus OR')} AS progress FROM located l JOIN wanted w ON l.located_file = w.path AND w.kind = 'file' LEFT JOIN sev USING (severity)),
+g AS (SELECT run_id, path, count(*) FILTER (WHERE progress AND status IN ('pass','warning')) AS passed, count(*) FILTER (WHERE progress) AS total, count(*) FILTER (WHERE status IN ('fail','skipped','bonus','warning')) AS issues, min(sr) FILTER (WHERE status IN ('fail','skipped','bonus','warning')) AS w FROM m GROUP BY ALL),
+s AS (SELECT file, string_agg(exercise_id, ',' ORDER BY pos) AS ids FROM ex GROUP BY file)
+SELECT r.run_id, w.path AS file, coalesce(s.ids, '') AS exercise_ids, lost.file IS NULL AS present, coalesce(g.passed, 0) AS passed, coalesce(g.total, 0) AS total, {pct('coalesce(g.passed, 0)', 'coalesce(g.total, 0)')} AS score, coalesce(g.issues, 0) AS issues, (SELECT severity FROM sev WHERE sr = g.w) AS worst
+FROM runs r JOIN wanted w ON w.subject_id = r.subject_id AND w.kind = 'file' LEFT JOIN g ON g.run_id = r.run_id AND g.path = w.path LEFT JOIN s ON s.file = w.path LEFT JOIN lost ON lost.run_id = r.run_id AND lost.file = w.path""")
 def file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.file_scores(deduped(spark, sf_dir))
+    located, files, ex, runs = _scored(spark, sf_dir)
+    return SC.file_scores(located, files, ex, runs)
+
+
+_WEAK = f"""{_SPEC}, fn AS (SELECT subject_id, exercise_id, unnest(functions) AS "function", required, bonus, pos * 100 + generate_subscripts(functions, 1) AS pos FROM ex),
+t AS (SELECT run_id, exercise_id, "function", count(*) AS n FROM deduped WHERE category IN ('explicit_tests','derived_tests') AND "function" <> '' GROUP BY ALL),
+weak AS (SELECT r.run_id, fn.exercise_id, fn."function", fn.pos, coalesce(t.n, 0) + coalesce(l.n, 0) AS tests FROM runs r JOIN fn USING (subject_id) LEFT JOIN t ON r.run_id = t.run_id AND fn.exercise_id = t.exercise_id AND fn."function" = t."function"
+  LEFT JOIN t l ON l.exercise_id IS NULL AND l.run_id = r.run_id AND l."function" = fn."function" WHERE fn.required AND NOT fn.bonus AND coalesce(t.n, 0) + coalesce(l.n, 0) < 2)"""
 
 
-@query(f"""WITH {A.CHECKS}, g AS (SELECT run_id, count(*) FILTER (WHERE category = 'explicit_tests') < 30 AS a, count(*) FILTER (WHERE status = 'skipped') * 5 > count(*) AS b, count(*) FILTER (WHERE provenance = 'heuristic') * 3 > count(*) AS c FROM deduped GROUP BY run_id)
-SELECT run_id, (['low','medium','high'])[1 + least(CASE WHEN a THEN 1 ELSE 2 END, CASE WHEN b THEN 0 ELSE 2 END, CASE WHEN c THEN 1 ELSE 2 END)] AS level,
-  array_to_string(list_filter([CASE WHEN a THEN 'few_explicit' END, CASE WHEN b THEN 'many_skipped' END, CASE WHEN c THEN 'many_heuristic' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g""")
+def _functions(ex: DataFrame) -> DataFrame:
+    return ex.select("subject_id", "exercise_id", "required", "bonus", "pos", F.posexplode("functions").alias("k", "function")).withColumn("pos", F.col("pos") * 100 + F.col("k") + 1).drop("k")
+
+
+@query(f"""WITH {_WEAK}, c AS (SELECT run_id, count(*) FILTER (WHERE mandatory AND NOT bonus AND status IN ('pass','warning','fail','skipped')) AS m, count(*) FILTER (WHERE category IN ('explicit_tests','output') AND starts_with(check_id, 'test:')) AS x,
+  count(*) FILTER (WHERE category = 'heuristic_tests' AND status = 'warning') AS h FROM deduped GROUP BY run_id), k AS (SELECT run_id, count(*) AS n, string_agg("function", ', ' ORDER BY pos) AS names FROM weak GROUP BY run_id),
+a AS (SELECT r.*, coalesce(m, 0) AS m, coalesce(x, 0) AS x, coalesce(h, 0) AS h, coalesce(n, 0) AS n, names FROM runs r LEFT JOIN c USING (run_id) LEFT JOIN k USING (run_id))
+SELECT run_id, CASE WHEN m = 0 OR x = 0 THEN 'low' WHEN (ai_items > 0 AND NOT reviewed) OR n > 0 OR h > 0 OR notes > 0 THEN 'medium' ELSE 'high' END AS level,
+  array_to_string(list_filter([CASE WHEN m = 0 THEN '{schema.NOTHING_VERIFIED}' END, CASE WHEN x = 0 THEN '{schema.NO_EXPLICIT_TEST}' END,
+  CASE WHEN ai_items > 0 AND NOT reviewed THEN replace('{schema.AI_NOT_REVIEWED}', '{{}}', ai_items::VARCHAR) END,
+  CASE WHEN n > 0 THEN n || ' mandatory function(s) have fewer than 2 explicit or derived tests: ' || names || '.' END, CASE WHEN h > 0 THEN replace('{schema.HEURISTIC_WARNINGS}', '{{}}', h::VARCHAR) END,
+  CASE WHEN notes > 0 THEN replace('{schema.PARSER_NOTES}', '{{}}', notes::VARCHAR) END, CASE WHEN sandbox_mode = 'local' THEN '{schema.LOCAL_SANDBOX}' END], lambda s: s IS NOT NULL), chr(10)) AS reasons FROM a""")
 def run_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.confidence(deduped(spark, sf_dir))
+    _, _, ex, runs = _scored(spark, sf_dir)
+    return SC.confidence(deduped(spark, sf_dir), _functions(ex), runs)
 
 
-@query(f"""WITH {A.CHECKS}, t AS (SELECT run_id, exercise_id, "function", count(*) AS n FROM deduped WHERE category IN ('explicit_tests','derived_tests') GROUP BY ALL),
-f AS (SELECT DISTINCT run_id, exercise_id, "function" FROM deduped WHERE mandatory AND exercise_id IS NOT NULL)
-SELECT f.run_id, f.exercise_id, f."function", coalesce(t.n, 0) + coalesce(l.n, 0) AS tests FROM f LEFT JOIN t ON f.run_id = t.run_id AND f.exercise_id = t.exercise_id AND f."function" = t."function"
-LEFT JOIN t l ON l.exercise_id IS NULL AND l.run_id = f.run_id AND l."function" = f."function" WHERE coalesce(t.n, 0) + coalesce(l.n, 0) < 2""")
+@query(f"WITH {_WEAK} SELECT run_id, exercise_id, \"function\", tests FROM weak")
 def under_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.under_tested(deduped(spark, sf_dir))
+    _, _, ex, runs = _scored(spark, sf_dir)
+    return SC.under_tested(deduped(spark, sf_dir), _functions(ex), runs).drop("pos")
 
 
-@query(f"""WITH {A.CHECKS}, r AS (SELECT run_id, check_id, status, severity, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN mandatory AND NOT bonus AND status IN ('fail','skipped') THEN 0 ELSE 1 END, coalesce(sr, 9), report_rank, emit_seq) AS place
+@query(f"""WITH {A.CHECKS}, r AS (SELECT run_id, check_id, status, severity, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN mandatory AND NOT bonus AND status IN ('fail','skipped') THEN 0 ELSE 1 END, coalesce(sr, 9), report_rank, mandatory DESC, emit_seq) AS place
   FROM deduped LEFT JOIN sev USING (severity) JOIN st USING (status) WHERE status IN ('fail','skipped','bonus','warning')) SELECT * FROM r WHERE place <= 5""")
 def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.top_issues(deduped(spark, sf_dir)).select("run_id", "check_id", "status", "severity", "place")
 
 
-@query(f"""WITH {A.CHECKS} SELECT run_id, check_id, status FROM deduped WHERE status IN ('fail','skipped') AND severity IN ('critical','major')
-  AND contains(lower(concat_ws(chr(10), check_id, category, status, severity, exercise_id, "function", file, provenance)), 'ex1') AND contains(lower(concat_ws(chr(10), check_id, category, status, severity, exercise_id, "function", file, provenance)), 'tests')""")
+@query(f"""WITH {A.CHECKS}, h AS (SELECT *, lower(concat_ws(chr(10), nullif(title, ''), nullif(message, ''), nullif(check_id, ''), nullif(file, ''), nullif(location_file, ''), nullif("function", ''), nullif(exercise_id, ''), nullif(diagnosis, ''))) AS hay FROM deduped)
+SELECT run_id, check_id, status FROM h WHERE status IN ('fail','skipped','info') AND severity = 'major' AND provenance = 'derived' AND contains(hay, 'ex1') AND contains(hay, 'missing_f')""")
 def search_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.search_issues(deduped(spark, sf_dir), ["EX1", "tests"], ["fail"], ["critical", "major"]).select("run_id", "check_id", "status")
+    return SC.search_issues(deduped(spark, sf_dir), " EX1  missing_F", ["fail", "info"], "major", "derived").select("run_id", "check_id", "status")
 
 
 @query(f"""WITH {A.CHECKS} SELECT CASE WHEN status IN ('fail','skipped') THEN 'fail' WHEN status IN ('warning','bonus','info') THEN status END AS bucket,
-  CASE category WHEN 'explicit_tests' THEN 'explicit' WHEN 'derived_tests' THEN 'derived' WHEN 'heuristic_tests' THEN 'heuristic' ELSE coalesce(provenance, 'explicit') END AS origin, count(*) AS n, count(*) FILTER (WHERE status IN ('pass','info')) AS passing FROM deduped GROUP BY 1, 2""")
+  CASE WHEN category = 'heuristic_tests' OR provenance = 'heuristic' THEN 'heuristic' WHEN category = 'derived_tests' OR provenance = 'derived' THEN 'derived' ELSE 'explicit' END AS origin, count(*) AS n, count(*) FILTER (WHERE status IN ('pass','info')) AS passing FROM deduped GROUP BY 1, 2""")
 def origins_and_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = deduped(spark, sf_dir)
     return rows.groupBy(S.status_filter(F.col("status")).alias("bucket"), S.test_origin(F.col("category"), F.col("provenance")).alias("origin")).agg(F.count("*").alias("n"), F.count_if(F.col("status").isin("pass", "info")).alias("passing"))
@@ -122,19 +179,19 @@ def origins_and_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- comparison and history
 
-_COMPARE = """b AS (SELECT run_id // 2 AS pair_id, check_id, status AS before FROM (SELECT run_id, split_part(check_id, ':', 1) AS check_id, status, row_number() OVER (PARTITION BY run_id, split_part(check_id, ':', 1) ORDER BY emit_seq, check_id) k FROM deduped) WHERE k = 1 AND run_id % 2 = 0),
-h AS (SELECT run_id // 2 AS pair_id, check_id, status AS after FROM (SELECT run_id, split_part(check_id, ':', 1) AS check_id, status, row_number() OVER (PARTITION BY run_id, split_part(check_id, ':', 1) ORDER BY emit_seq, check_id) k FROM deduped) WHERE k = 1 AND run_id % 2 = 1),
-j AS (SELECT pair_id, check_id, before, after, coalesce(before IN ('fail','skipped'), false) AS was, coalesce(after IN ('fail','skipped'), false) AS now FROM b FULL JOIN h USING (pair_id, check_id)),
-changes AS (SELECT pair_id, check_id, before, after, unnest(list_filter([CASE WHEN was AND after IN ('pass','warning') THEN 'fixed' END, CASE WHEN NOT was AND now THEN 'new_failures' END, CASE WHEN was AND now THEN 'still_failing' END, CASE WHEN before IS NULL THEN 'new_checks' END, CASE WHEN after IS NULL THEN 'removed_checks' END], lambda x: x IS NOT NULL)) AS change FROM j)"""
+# Runs 2k and 2k + 1 of the same checks: what lineitem spreads over suppliers is brought together by order and line.
+_COMPARE = """half AS (SELECT run_id % 2 AS side, run_id // 2 AS pair_id, split_part(check_id, ':', -2) || ':' || split_part(check_id, ':', -1) AS check_id, status, emit_seq FROM deduped),
+one AS (SELECT side, pair_id % 2 AS pair_id, check_id, arg_max(status, emit_seq) AS status FROM half GROUP BY ALL),
+j AS (SELECT pair_id, check_id, b.status AS before, h.status AS after FROM (SELECT * FROM one WHERE side = 0) b FULL JOIN (SELECT * FROM one WHERE side = 1) h USING (pair_id, check_id)),
+changes AS (SELECT pair_id, check_id, before, after, unnest(list_filter([CASE WHEN before IN ('fail','skipped','warning') AND after = 'pass' THEN 'fixed' END, CASE WHEN after IN ('fail','skipped') AND coalesce(before, '') NOT IN ('fail','skipped') THEN 'new_failures' END,
+  CASE WHEN before IN ('fail','skipped') AND after IN ('fail','skipped') THEN 'still_failing' END, CASE WHEN before IS NULL THEN 'new_checks' END, CASE WHEN after IS NULL THEN 'removed_checks' END], lambda x: x IS NOT NULL)) AS change FROM j)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = deduped(spark, sf_dir).select("run_id", F.split_part("check_id", F.lit(":"), F.lit(1)).alias("check_id"), "status", "emit_seq", F.col("check_id").alias("full_id"))
-    one = rows.withColumn("k", F.row_number().over(Window.partitionBy("run_id", "check_id").orderBy("emit_seq", "full_id"))).where("k = 1")
-    one = one.withColumn("pair_id", F.floor(F.col("run_id") / 2))
-    return H.compare_runs(one.where("run_id % 2 = 0"), one.where("run_id % 2 = 1"))
+    own = F.concat_ws(":", F.split_part("check_id", F.lit(":"), F.lit(-2)), F.split_part("check_id", F.lit(":"), F.lit(-1)))
+    half = deduped(spark, sf_dir).select((F.col("run_id") % 2).alias("side"), (F.floor(F.col("run_id") / 2) % 2).alias("pair_id"), own.alias("check_id"), "status", "emit_seq")
+    one = half.groupBy("side", "pair_id", "check_id").agg(F.max_by("status", "emit_seq").alias("status"))
+    return H.compare_runs(one.where("side = 0"), one.where("side = 1"))
 
 
 @query(f"WITH {A.CHECKS}, {_COMPARE} SELECT * FROM changes")
@@ -157,7 +214,7 @@ def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.latest_runs(A.analyses(spark, sf_dir)).select("subject_id", "project_id", "id", "number")
 
 
-@query(f"WITH {A.ANALYSES} SELECT id, lag(id) OVER (PARTITION BY subject_id, project_id ORDER BY number, created_at, id) AS previous_id FROM analyses")
+@query("WITH " + A.ANALYSES + " SELECT a.id, (SELECT arg_max(b.id, {'n': b.number, 'c': b.created_at, 'i': b.id}) FROM analyses b WHERE b.subject_id = a.subject_id AND b.project_id = a.project_id AND b.number < a.number) AS previous_id FROM analyses a")
 def previous_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.previous_analysis(A.analyses(spark, sf_dir)).select("id", "previous_id")
 
@@ -167,15 +224,14 @@ def next_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.next_numbers(A.analyses(spark, sf_dir))
 
 
-@query(f"WITH {A.ANALYSES} SELECT id, number, created_at FROM analyses WHERE subject_id = 's7' ORDER BY created_at DESC, number DESC, id DESC LIMIT 50")
+@query(f"WITH {A.ANALYSES} SELECT * FROM analyses ORDER BY created_at DESC, number DESC, id DESC LIMIT 50")
 def history_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.list_analyses(A.analyses(spark, sf_dir), subject_id="s7").select("id", "number", "created_at")
+    return H.list_analyses(A.analyses(spark, sf_dir))
 
 
-@query(f"WITH {A.ANALYSES} SELECT id FROM analyses WHERE id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY subject_id, project_id ORDER BY number DESC, id DESC) > 3")
+@query(f"WITH {A.ANALYSES} SELECT id FROM analyses QUALIFY row_number() OVER (PARTITION BY subject_id, project_id ORDER BY number DESC, id DESC) > 3")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.analyses(spark, sf_dir).where("id % 10 <> 0")
-    return H.keep_newest(rows, ["subject_id", "project_id"], "number", 3).select("id")
+    return H.keep_newest(A.analyses(spark, sf_dir), ["subject_id", "project_id"], "number", 3).select("id")
 
 
 @query(f"WITH {A.ANALYSES} SELECT subject_id, id, number, created_at FROM analyses QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY created_at DESC, number DESC, id DESC) <= 50")
@@ -220,9 +276,12 @@ def prompt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.prompt_groups(A.io_events(spark, sf_dir))
 
 
-@query(f"WITH {A.EVENTS}, {_OFFSETS} SELECT job_id, seq FROM offs WHERE end_off - length(text) >= 30")
+@query(f"""WITH {A.EVENTS}, p AS (SELECT *, coalesce(sum(CASE WHEN kind = 'output' THEN length(text) ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS printed FROM io)
+SELECT job_id, seq, kind FROM p WHERE printed >= CASE WHEN job_id % 4 = 0 THEN 0 ELSE (job_id % 7) * 10 END""")
 def after_consuming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EV.after_consuming(A.io_events(spark, sf_dir), 30).select("job_id", "seq")
+    io = A.io_events(spark, sf_dir)
+    consumed = io.select("job_id").distinct().where("job_id % 4 <> 0").withColumn("chars", F.col("job_id") % 7 * 10)
+    return EV.after_consuming(io, consumed).select("job_id", "seq", "kind")
 
 
 _STEPS = "steps AS (SELECT conv_id AS session_id, turn AS step_no, CASE WHEN role = 'user' THEN 'input' ELSE 'output' END AS kind, text FROM conversations)"
@@ -237,8 +296,10 @@ def steps_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.steps_io(_steps(spark, sf_dir))
 
 
-@query(f"""WITH {_STEPS}, a AS (SELECT *, coalesce((kind <> lag(kind) OVER w)::INT, 1) AS new FROM steps WINDOW w AS (PARTITION BY session_id ORDER BY step_no)),
-b AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY step_no ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM a) SELECT session_id, island, kind, string_agg(text, '' ORDER BY step_no) AS text, count(*) AS steps FROM b GROUP BY ALL""")
+@query(f"""WITH {_STEPS}, k AS (SELECT * FROM steps WHERE kind <> 'output' OR text <> ''), a AS (SELECT *, CASE WHEN kind = 'output' AND coalesce(lag(kind) OVER w = 'output', false) THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY session_id ORDER BY step_no)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY step_no ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM a), g AS (SELECT session_id, island, kind, string_agg(text, '' ORDER BY step_no) AS text, count(*) AS steps FROM b GROUP BY ALL),
+l AS (SELECT *, kind = 'output' AND island = max(island) OVER (PARTITION BY session_id) AS last FROM g)
+SELECT session_id, island, kind, steps, CASE WHEN last THEN rtrim(regexp_replace(text, '(\n[ \t]*)+$', ''), chr(10)) || chr(10) ELSE text END AS text FROM l WHERE NOT last OR trim(text, ' ' || chr(9) || chr(10)) <> ''""")
 def merge_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.merge_steps(_steps(spark, sf_dir))
 
@@ -267,18 +328,21 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def match_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential claims of files have no short SQL; tests hold it against a plain loop."""
+    """Claiming files in turn has no short SQL; tests hold it against a plain loop."""
     tree = A.tree(spark, sf_dir)
-    wanted = tree.select("project_id").distinct().select("project_id", F.explode(F.array(*map(F.lit, ("src/m5.py", "src/m10.py", "src/main11.py", "Docs/m4.py", "src/none.py")))).alias("path"))
-    return ST.match_requirements(wanted.withColumn("required", ~F.contains("path", F.lit("none"))).withColumn("bonus", F.contains("path", F.lit("main"))), tree).select("project_id", "path", "found", "how", "status")
+    paths = ("src/m5.py", "src/m10.py", "src/main11.py", "Docs/m4.py", "src/none.py", "m7.py", "lib/m7.py")
+    wanted = tree.select("project_id").distinct().select("project_id", F.posexplode(F.array(*map(F.lit, paths))).alias("pos", "path")).withColumn("kind", F.lit("file"))
+    wanted = wanted.withColumn("required", ~F.contains("path", F.lit("none"))).withColumn("bonus", F.contains("path", F.lit("main")))
+    return ST.match_requirements(wanted, tree, "src", ["build/"]).select("project_id", "path", "found", "how", "status")
 
 
-@query(f"""WITH {A.TREE} SELECT project_id, path, CASE WHEN regexp_matches(path, '^__pycache__/') THEN NULL ELSE '*.PY' END AS pattern FROM tree WHERE regexp_matches(path, '(^|.*/)[^/]*\\.PY$')""".replace("CASE WHEN regexp_matches(path, '^__pycache__/') THEN NULL ELSE '*.PY' END", "'*.PY'"))
+@query(f"""WITH {A.TREE}, h AS (SELECT project_id, path, kind, CASE WHEN regexp_matches(path, '(^|/)[^/]*\\.PY$') THEN '*.PY' WHEN kind = 'directory' AND regexp_matches(path, '(^|/)build$') THEN 'build/' WHEN regexp_matches(path, '^src/.*m[12][^/]$') THEN '/src/*m[12]?' WHEN kind = 'directory' AND regexp_matches(path, '(^|/)__pycache__$') THEN '**/__pycache__/' END AS pattern FROM tree)
+SELECT project_id, path, pattern FROM h WHERE pattern IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h o WHERE o.project_id = h.project_id AND o.kind = 'directory' AND o.pattern IS NOT NULL AND starts_with(h.path, o.path || '/'))""")
 def unwanted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.unwanted(A.tree(spark, sf_dir), ["*.PY", "build/"]).select("project_id", "path", "pattern")
+    return ST.unwanted(A.tree(spark, sf_dir), ["# no pattern", "*.PY", "build/", "/src/*m[12]?", "!x", "**/__pycache__/"]).select("project_id", "path", "pattern")
 
 
-@query(f"""WITH {A.TREE}, p AS (SELECT project_id, path, string_split(path, '/') AS s FROM tree), f AS (SELECT project_id, unnest(list_transform(range(1, len(s)), lambda n: array_to_string(s[1:n], '/'))) AS folder FROM p)
+@query(f"""WITH {A.TREE}, p AS (SELECT project_id, path, string_split(path, '/') AS s FROM tree WHERE kind = 'file'), f AS (SELECT project_id, unnest(list_transform(range(1, len(s)), lambda n: array_to_string(s[1:n], '/'))) AS folder FROM p)
 SELECT project_id, folder, count(*) AS files FROM f GROUP BY ALL""")
 def files_below(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.files_below(A.tree(spark, sf_dir))
@@ -310,10 +374,10 @@ def module_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, text AS a, lower(text) AS b FROM documents) SELECT doc_id, length(trim(regexp_replace(a, '[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))) AS collapsed,
-CASE WHEN a = b THEN 'equal' ELSE 'case' END AS kind, length(a) - length(replace(a, chr(10), '')) + CASE WHEN a = '' OR right(a, 1) = chr(10) THEN 0 ELSE 1 END AS n_lines FROM d""")
+length(a) - length(replace(a, chr(10), '')) + CASE WHEN a = '' OR right(a, 1) = chr(10) THEN 0 ELSE 1 END AS n_lines FROM d""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.length(X.collapse_ws(F.col("text"))).alias("collapsed"), X.line_kind(F.lower("text"), F.col("text")).alias("kind"), F.size(X.lines_kept(F.col("text"))).alias("n_lines"))
+    return d.select("doc_id", F.length(X.collapse_ws(F.col("text"))).alias("collapsed"), F.size(X.lines_kept(F.col("text"))).alias("n_lines"))
 
 
 @query("""WITH v AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'int' ELSE 'float' END AS ka, CASE WHEN o_orderkey % 2 = 0 THEN 'int' ELSE 'float' END AS kb, floor(o_totalprice) AS a,
