@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
-from .textbuf import Run, Words, mix, runs, word_hashes, words
+from .textbuf import RUN_BYTES, Run, Words, mix, runs, word_hashes, words
 
 WINDOW, MIN_TOKENS, MIN_COVER = 6, 3, 0.4
 #: Of short items, this share up to so many tokens has to be covered, and always more than one window or the whole item.
@@ -78,14 +78,14 @@ def canonical(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kept = start < end
     # A name: a capital, then not a capital, where no sentence or line begins.
     last = np.append(True, _STOP[data[w.end[:-1] - 1]])
-    newline = np.append(0, np.cumsum(data == 10))
+    newline = np.append(np.int32(0), np.cumsum(data == 10, dtype=np.int32))
     begins = last | np.append(True, newline[w.start[1:]] > newline[w.end[:-1]]) | np.append(True, w.doc[1:] != w.doc[:-1])
     first, second = data[np.minimum(start, len(data) - 1)], data[np.minimum(start + 1, len(data) - 1)]
     accent = (first == 0xC3) & (second >= 0x80) & (second < 0x9F)
     third = np.where(accent, data[np.minimum(start + 2, len(data) - 1)], second)
     longer = end - start > 1 + accent
     is_name = (_UPPER[first] | accent) & longer & ~_UPPER[third] & ~((third == 0xC3) & accent) & ~begins
-    digits = np.append(0, np.cumsum(_DIGIT[data]))
+    digits = np.append(np.int32(0), np.cumsum(_DIGIT[data], dtype=np.int32))
     is_number = _DIGIT[first] | (digits[end] - digits[start] > 0) & ~_LETTER[first]
     start, end = start[kept], end[kept]
     core = Words(start, end, w.doc[kept], np.searchsorted(start, run.offsets, "left"))
@@ -93,7 +93,7 @@ def canonical(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.zeros(len(data) + 1, np.int8)
     np.add.at(inside, start, 1)
     np.add.at(inside, end, -1)
-    masked[np.cumsum(inside[:-1]) == 0] = 32
+    masked[np.cumsum(inside[:-1], dtype=np.int8) == 0] = 32
     capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[1:] != 0x97)) + 1
     masked[capital] += 0x20  # accented Latin capitals count as small letters, as A-Z do
     plain = word_hashes(masked, core)
@@ -109,7 +109,7 @@ WINDOWS = "h long, exact boolean, pos int, tokens array<long>, plain array<long>
 
 def _windows(batches: Iterable[pa.RecordBatch], key: str, sizes: list[int], wanted: np.ndarray | None, per_item: bool) -> Iterator[pa.RecordBatch]:
     """A row for each window (of items: of one size that fits; of documents: of each size) that is wanted, as a template and as it stands."""
-    for run in runs(batches, "text"):
+    for run in runs(batches, "text", RUN_BYTES // 2):
         token, plain, first = canonical(run)
         literal = ~((token == NUM) | (token == NAME) | (token == UNIT))
         lit = np.append(0, np.cumsum(literal))

@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text is still taken whole.
 RUN_BYTES = 1_000_000
@@ -21,21 +22,23 @@ class Run(NamedTuple):
 
 
 def runs(batches: Iterable[pa.RecordBatch], column: str, limit: int = RUN_BYTES) -> Iterator[Run]:
+    """Of a batch, one run at a time is copied, so what is held besides the batch is bounded by limit and one text."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        text = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
-        valid = np.asarray(text.is_valid())
-        text = text.fill_null("")
-        _, offs, data = text.buffers()
-        offs = np.frombuffer(offs, np.int64)[text.offset : text.offset + len(text) + 1]
-        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-        at = 0
-        while at < len(text):
-            end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
-            end = min(end, len(text))
-            yield Run(batch.slice(at, end - at), raw[offs[at] : offs[end]], offs[at : end + 1] - offs[at], valid[at:end])
-            at = end
+        texts = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = done = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+            text = texts.slice(at, end - at).cast(pa.large_string())
+            valid = np.asarray(text.is_valid())
+            text = text.fill_null("")
+            _, offs, data = text.buffers()
+            offs = np.frombuffer(offs, np.int64)[text.offset : text.offset + len(text) + 1]
+            raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+            yield Run(batch.slice(at, end - at), raw[offs[0] : offs[-1]], offs - offs[0], valid)
+            at, done = end, int(ends[end - 1])
     give_back()
 
 
@@ -105,11 +108,14 @@ def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
     if not len(w.start):
         return np.zeros(0, np.uint64)
     size = w.end - w.start
-    within = np.arange(len(data), dtype=np.int64)
-    within[w.start[0] :] -= np.repeat(w.start, np.diff(np.append(w.start, len(data))))
+    within = np.arange(len(data), dtype=np.int32 if len(data) < 2**31 else np.int64)
+    within[w.start[0] :] -= np.repeat(w.start, np.diff(np.append(w.start, len(data)))).astype(within.dtype)
     top = int(size.max())
     powers = _POWERS if top <= len(_POWERS) else np.cumprod(np.full(top, _ODD, np.uint64))
-    value = BYTE_VALUE[data] * powers[np.minimum(within, top - 1)]
+    np.minimum(within, top - 1, out=within)
+    value = powers[within]
+    del within
+    value *= BYTE_VALUE[data]
     value[IS_GAP[data]] = 0
     return mix(np.add.reduceat(value, w.start) + size.astype(np.uint64))
 
