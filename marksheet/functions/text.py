@@ -11,9 +11,14 @@ def collapse_ws(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
+def strip(s: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")
+
+
 def excerpt(s: Column, limit: int = 300) -> Column:
     """Trimmed, cut to a length with an ellipsis."""
-    out = F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")
+    out = strip(s)
     return F.when(F.length(out) <= limit, out).otherwise(F.concat(F.regexp_replace(F.substring(out, 1, limit - 1), r"(?U)\s+\z", ""), F.lit("…")))
 
 

@@ -430,3 +430,6 @@ def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = SF.call_sites(SF.source_facts(_sources(spark, sf_dir)))
     return sites.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ",")).withColumn("functions", F.array_join("functions", ","))
+
+
+from . import verdict_queries  # noqa: E402, F401  (adds its queries to the same registry)
