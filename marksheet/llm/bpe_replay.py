@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .pretokens import pieces
 from .textbuf import give_back, runs
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 3_000_000
 MEMO_PIECES, MEMO_CHARS = 200_000, 64
 #: A merge at so few positions is applied one by one, as numpy's calls would cost more.
 FEW = 24
