@@ -132,14 +132,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model | None:
-    """Learns from at most per_label labelled documents of each label, taken by the hash of their ids."""
+    """Learns from at most per_label labelled documents of each label, taken by the hash of their ids; of texts
+    that repeat an id, the smallest counts."""
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other and quality in (0, 1)")
     usable = one.where(~held_out()).select("doc_id", "quality")
     here = docs.where("text is not null").select("doc_id").distinct()
     usable = usable.join(here, "doc_id", "left_semi")
     pick = lambda q: usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
     ids = pick(0).unionByName(pick(1))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).limit(2 * per_label).collect()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in rows], [int(r.quality) for r in rows])
 

@@ -326,6 +326,25 @@ def test_factorisation_identity():
     assert abs(0.5 * (((x @ v) ** 2) - (x**2 @ v**2)).sum() - pairs) < 1e-9 and model is not None
 
 
+def test_scores_are_those_of_all_pairs():
+    """The model's scores against the sum over all pairs of features, one by one."""
+    import pyarrow as pa
+
+    from marksheet.llm.textbuf import runs
+
+    texts = ["good words stand here and there " * 3, "BAD!! bad bad 123", "", "one", "words here"]
+    model = quality_fm.fit(texts, [1, 0, 0, 1, 1], epochs=3)
+    run = next(runs([pa.RecordBatch.from_pydict({"text": texts})], "text"))
+    stats, bucket, first = quality_fm.statistics(run)
+    got = model.scores(run)
+    for k in range(len(texts)):
+        count = np.bincount(bucket[first[k] : first[k + 1]], minlength=quality_fm.BUCKETS).astype(float)
+        x = np.append(count / max(1e-9, np.sqrt(count @ count)), np.clip((stats[k] - model.mean) / model.scale, -5, 5))
+        on = np.flatnonzero(x)
+        z = model.bias + x @ model.w + sum(model.v[i] @ model.v[j] * x[i] * x[j] for n, i in enumerate(on) for j in on[:n])
+        assert abs(got[k] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
 def test_warc(spark):
     big = "é<p>" + "z" * 90_000
     rows = [(1, "u", big, 0), (2, "u\r\nx", big, 0), (3, None, None, 0), (4, "u", "", 0), (5, "u", "short", 0), (6, "u", "short", 0), (7, "u", "y" * 100, 0), (8, "u", "y" * 100, 0), (5, "u", "short", 0)]
