@@ -5,7 +5,8 @@ A shard holds documents in ascending key order: blocks of prefix-compressed entr
 filter, searches the index by bisection and reads one block.
 
 Defined results: a null text is encoded as empty; an empty text has the end id alone; a null doc_id sorts
-before all others; rows that repeat a doc_id are all kept, ordered by text; other columns are ignored.
+before all others; rows that repeat a doc_id are all kept, ordered by text; other columns are ignored; the
+string of an added token in a text becomes that token, as the library's encode() reads it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -194,48 +195,64 @@ def open_shard(uri: str) -> Shard:
 # ---------------------------------------------------------------- encoding
 
 
+class _Memo(dict):
+    """The ids of pieces, learned where they are asked for; long ones aren't kept."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn = learn
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.learn(text)
+        if len(text) <= MEMO_CHARS:
+            self[text] = ids
+        return ids
+
+
 class PieceEncoder:
-    """Encodes texts by pieces, each distinct piece and each distinct pre-token once while it is remembered."""
+    """Encodes texts by pieces, each distinct piece and each distinct pre-token once while it is remembered.
+
+    The ids are those of the library's encode(text, add_special_tokens=False): a text that holds the string of an
+    added token, such as that of the end of a text, is given to it whole, as that token cuts the text around it."""
 
     def __init__(self, tokenizer_file: str, pattern: str) -> None:
         from tokenizers import Tokenizer
 
-        # The model alone is asked, so the strings of special tokens in a text are ordinary text.
-        self.model = Tokenizer.from_file(tokenizer_file).model
-        self.pattern = fast_pattern(pattern)
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.findall = fast_pattern(pattern).findall
         self.letters = byte_letters()
-        self.memo: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.memo, self.known = _Memo(self._after_space), _Memo(self._token)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [pieces(t) for t in texts]
-        heads = [self._ids(p.pop(0)) for p in cut]
         if len(self.memo) > MEMO_PIECES:
-            self.memo = {}
+            self.memo.clear()
         if len(self.known) > MEMO_PIECES // 2:
-            self.known = {}
-        seen: set[str] = set()
-        for p in cut:
-            seen.update(p)
-        memo, late = self.memo, {}
-        for p in seen - memo.keys():
-            (memo if len(p) <= MEMO_CHARS else late)[p] = self._ids(" " + p)
-        if late:
-            return [head + b"".join([memo[x] if x in memo else late[x] for x in p]) for p, head in zip(cut, heads, strict=True)]
-        return [head + b"".join(map(memo.__getitem__, p)) for p, head in zip(cut, heads, strict=True)]
-
-    def _ids(self, piece: str) -> bytes:
-        out = []
-        for token in self.pattern.findall(piece):
-            ids = self.known.get(token)
-            if ids is None:
-                word = token.translate(self.letters) if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-                if len(token) <= MEMO_CHARS:
-                    self.known[token] = ids
-            out.append(ids)
-        return b"".join(out)
+            self.known.clear()
+        ids, out = self.memo.__getitem__, []
+        for text in texts:
+            if any(x in text for x in self.added):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
+            head, *rest = pieces(text)
+            out.append(self._piece(head) + b"".join(map(ids, rest)))
+        return out
+
+    def _after_space(self, piece: str) -> bytes:
+        """A space and ASCII letters are one pre-token of all such patterns."""
+        return self.known[" " + piece] if piece.isalpha() and piece.isascii() else self._piece(" " + piece)
+
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.findall(piece)
+        return self.known[piece] if len(tokens) == 1 else b"".join(map(self.known.__getitem__, tokens))
+
+    def _token(self, token: str) -> bytes:
+        if token.isascii() and token.isprintable():  # each character stands for itself but the space
+            word = token.replace(" ", self.letters[32])
+        else:
+            word = token.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
 
 def byte_letters() -> dict[int, str]:

@@ -50,6 +50,18 @@ def test_token_table(spark, docs, none):
     assert token_table.read_token_table(token_table.write_token_table(none, JSON, P.PATTERN)).count() == 0
 
 
+def test_strings_of_added_tokens_are_read_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(JSON), token_table.PieceEncoder(JSON, P.PATTERN)
+    end = "<|endoftext|>"
+    texts = [end, f"a  {end} b", f"x{end}{end}y\n {end}", "<|endoftext", "plain  words 12ab d'accord's \x00\x7f é́ ǅ", "", "abc def", " "]
+    texts += ["z" * (token_table.MEMO_CHARS + 5) + " " + "z" * (token_table.MEMO_CHARS + 5)]
+    assert t.encode(end, add_special_tokens=False).ids == [50256]
+    for _ in range(2):  # learned, then remembered
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_shard_with_null_negative_and_wide(tmp_path):
     fs = pafs.LocalFileSystem()
     path = str(tmp_path / "x.sst")
