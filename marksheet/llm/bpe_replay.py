@@ -219,7 +219,7 @@ class Codec:
             seen.update(p[1:])
         if len(self.memo) > MEMO_PIECES:
             self.memo = {}
-        new = list(seen - self.memo.keys())
+        new = list(seen.difference(self.memo))  # not "seen - self.memo.keys()", which walks the whole memo
         got = self.learn([" " + p for p in new] + list(heads))
         late = {p: got[" " + p] for p in new if len(p) > MEMO_CHARS}
         self.memo.update((p, got[" " + p]) for p in new if len(p) <= MEMO_CHARS)
