@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marksheet.operators import ordering as OR
 from marksheet.operators import planning as PL
+from marksheet.operators import summaries as SU
 from marksheet.operators import verdicts as V
 
 from . import adapters as A
@@ -193,3 +194,34 @@ o AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY created, job_id)
 def evicted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = A.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("owner"), F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created"), (F.col("o_orderstatus") != "O").alias("finished"))
     return OR.evicted_jobs(jobs, 40)
+
+
+# ---------------------------------------------------------------- summaries
+
+
+@query(f"""WITH {A.CHECKS}, g AS (SELECT run_id, category, count(*) AS n, count(*) FILTER (WHERE status = 'pass') AS p, count(*) FILTER (WHERE status IN ('fail','skipped')) AS f, count(*) FILTER (WHERE status = 'warning') AS w,
+  count(*) FILTER (WHERE status = 'bonus') AS b, count(*) FILTER (WHERE status IN ('fail','skipped') AND mandatory AND NOT bonus) AS blocking FROM deduped GROUP BY ALL)
+SELECT run_id, category, p || ' / ' || n || ' passed' || CASE WHEN f > 0 THEN ' · ' || f || ' failing' ELSE '' END || CASE WHEN w = 1 THEN ' · 1 warning' WHEN w > 1 THEN ' · ' || w || ' warnings' ELSE '' END
+  || CASE WHEN b > 0 THEN ' · ' || b || ' bonus not done' ELSE '' END AS summary, CASE WHEN blocking > 0 THEN 'fail' WHEN f + w > 0 THEN 'warning' WHEN b > 0 THEN 'bonus' ELSE 'pass' END AS tone FROM g""")
+def section_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SU.section_summaries(deduped(spark, sf_dir), ["run_id", "category"])
+
+
+@query("""WITH c AS (SELECT p_size AS project_id, split_part(p_type, ' ', 1) AS name, count(*) AS files FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY files DESC, name) AS place FROM c)
+SELECT * FROM r WHERE place <= 3""")
+def heaviest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", F.replace("p_type", F.lit(" "), F.lit("/")), F.col("p_partkey").cast("string"))
+    return SU.heaviest_entries(A.table(spark, sf_dir, "part").select(F.col("p_size").alias("project_id"), path.alias("path"), F.lit("file").alias("kind")))
+
+
+@query("""WITH f AS (SELECT l_suppkey AS project_id, 'm' || (l_partkey % 7) || '.py' AS path, 'fn' || (l_orderkey % 40) AS name, l_linenumber AS line FROM lineitem), e AS (SELECT DISTINCT project_id, 'm' || (k % 7) || '.py' AS path, 'fn' || k AS name FROM f, range(40) t(k)),
+m AS (SELECT * FROM e ANTI JOIN f USING (project_id, path, name)), d AS (SELECT DISTINCT ON (project_id, name, path) * FROM f ORDER BY project_id, name, path, line),
+h AS (SELECT m.project_id, m.path, m.name, d.path AS found_path, d.line, row_number() OVER (PARTITION BY m.project_id, m.path, m.name ORDER BY d.path) AS nth, count(*) OVER (PARTITION BY m.project_id, m.path, m.name) - 1 AS more FROM m JOIN d ON d.project_id = m.project_id AND d.name = m.name)
+SELECT project_id, path, name, found_path, line, more FROM h WHERE nth = 1""")
+def defined_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = A.table(spark, sf_dir, "lineitem")
+    name = lambda k: F.concat(F.lit("fn"), k.cast("string"))
+    path = lambda k: F.concat(F.lit("m"), (k % 7).cast("string"), F.lit(".py"))
+    functions = li.select(F.col("l_suppkey").alias("project_id"), path(F.col("l_partkey")).alias("path"), name(F.col("l_orderkey") % 40).alias("name"), F.col("l_linenumber").alias("line"))
+    wanted = functions.select("project_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).select("project_id", path(F.col("k")).alias("path"), name(F.col("k")).alias("name"))
+    return SU.defined_elsewhere(wanted, functions)
