@@ -135,12 +135,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit_on(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
-    """Learns from at most per_lang documents of each of at most MAX_LANGS languages, taken by the hash of their ids."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    """Learns from at most per_lang documents, taken by the hash of their ids, of each of the MAX_LANGS commonest languages; of
+    texts that repeat an id and language, the smallest counts. Documents without id are not learned from."""
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct().limit(per_lang * MAX_LANGS)), "doc_id", "left_semi").limit(2 * per_lang * MAX_LANGS).collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.text, r.lang))
+    ids = known.select("doc_id", "lang").join(F.broadcast(langs), "lang", "left_semi").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    ids = ids.select("doc_id", "lang").distinct()
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text, r.lang))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 

@@ -1,16 +1,20 @@
 """The ten operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
 from marksheet.llm import bpe_replay, chat_format, decontaminate, language_id, main_text, permutation_index, quality_fm, shingle_join, token_table, warc_archive
+from marksheet.llm.textbuf import runs
 
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 DOC = "doc_id long, text string, lang string, n int, h long, sig string"
@@ -257,6 +261,58 @@ def test_decontaminate_leaves_clean_documents(spark):
     assert set(moved) == {(i, 1) for i in range(40)} and len({r.covered for r in moved.values()}) == 1
 
 
+def plain_cover(doc, item):
+    """(covered, reworded) of the best neighbourhood by loops over every diagonal and window; None if not contaminated."""
+    (dt, dp), (it, ip) = doc, item
+    d, n = len(dt), len(it)
+    size, slots = min(n, decontaminate.WINDOW), {int(x) for x in (decontaminate.NUM, decontaminate.NAME, decontaminate.UNIT)}
+    if n < decontaminate.MIN_TOKENS:
+        return None
+    near, areas = max(decontaminate.NEAR, int(n * decontaminate.NEAR_SHARE)), {}
+    for diagonal in range(-n, d):
+        starts = [p for p in range(n - size + 1) if 0 <= p + diagonal <= d - size]
+        exact = [p for p in starts if dp[p + diagonal :][:size] == ip[p:][:size]]
+        alike = [p for p in starts if dt[p + diagonal :][:size] == it[p:][:size] and 2 * sum(t not in slots for t in it[p:][:size]) >= size]
+        values = {(ip[q], dp[q + diagonal]) for p in alike for q in range(p, p + size) if it[q] in slots}
+        if len({was for was, _ in values}) < len(values):
+            alike = []
+        for area in {diagonal // (near + 1) - 1, diagonal // (near + 1)} if exact or alike else ():
+            covered, as_is, literal, other = areas.setdefault(area, (set(), set(), set(), []))
+            for p in exact:
+                as_is.update(range(p, p + size))
+                literal.update(ip[p:][:size])
+            covered.update(q for p in exact + alike for q in range(p, p + size))
+            literal.update(it[q] for p in alike for q in range(p, p + size) if it[q] not in slots)
+            other.append(bool(alike) and any(was != now for was, now in values))
+    need = max(math.ceil(n * decontaminate.MIN_COVER), min(math.ceil(n * decontaminate.SHORT_COVER), decontaminate.SHORT_TOKENS), min(n, decontaminate.WINDOW + 1))
+    best = [(len(c), not any(o)) for c, a, lit, o in areas.values() if len(c) >= need and (len(a) >= need or len(lit) >= decontaminate.MIN_LITERAL)]
+    return (max(best)[0], not max(best)[1]) if best else None
+
+
+def test_decontaminate_is_the_plain_search(spark):
+    rng = random.Random(4)
+    vocabulary = ["the", "train", "leaves", "at", "60", "km", "85", "Boston", "Madrid", "per", "hour.", "How", "far", "seven", "kg", "and", "ride", "x+1", "(12)"]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(rng.randint(1, 24)) for _ in range(25)] + [["In", "Oslo", "5", "kg", "of", "fish", "cost", "90", "euros", "today"]]
+    texts = []
+    for _ in range(120):
+        text = say(rng.randint(0, 12))
+        for _ in range(rng.randint(0, 2)):
+            copy = [rng.choice(vocabulary) if rng.random() < 0.06 else w for w in rng.choice(items) if rng.random() > 0.04]
+            text += copy + say(rng.randint(0, 30))
+        texts.append(" ".join(text))
+    texts += ["In Rome 7 kg of fish cost 30 euros today", "", None, " ".join(items[3]).upper()]
+    found = {k: (r.covered, r.reworded) for k, r in contaminated(spark, texts, [" ".join(i) for i in items]).items()}
+
+    def tokens(strings):
+        (run,) = runs([pa.RecordBatch.from_pydict({"text": pa.array(strings, pa.string())})], "text")
+        token, plain, first = decontaminate.canonical(run)
+        return [(token[a:b].tolist(), plain[a:b].tolist()) for a, b in itertools.pairwise(first.tolist())]
+
+    told = {(d, i): got for d, doc in enumerate(tokens(texts)) for i, item in enumerate(tokens([" ".join(i) for i in items])) if (got := plain_cover(doc, item))}
+    assert found == told and len(found) > 60 and {r for _, r in found.values()} == {True, False}
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16)).astype(np.float32)
@@ -319,6 +375,42 @@ def test_language_id(spark, docs, none):
     assert min((code[i] != code[j]).sum() for i in range(12) for j in range(i)) >= 3
 
 
+def plain_language(model, text):
+    """(language, score) from n-gram counts by loops and each codeword's loss on its own."""
+    b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in text.encode()]
+    b = [c + 32 if k and b[k - 1] == 0xC3 and 0x80 <= c < 0x9F else c for k, c in enumerate(b)]
+    x = np.zeros(language_id.BUCKETS)
+    for k in range(len(b) - 1):
+        x[(b[k] * 257 + b[k + 1]) * 2654435761 % 2**32 >> 20] += 1
+    for k in range(len(b) - 2):
+        x[(b[k] * 257 + b[k + 1] + b[k + 2] * 66049 + 77) * 2246822519 % 2**32 >> 20] += 1
+    x = np.sqrt(x / max(1, x.sum()))
+    loss = {}
+    for lang, word in zip(model.langs, model.code, strict=True):
+        bits = [math.log1p(math.exp(-s * max(-8, min(8, float(x @ model.w[:-1, j]) + float(model.w[-1, j]))))) for j, s in enumerate(word.tolist())]
+        loss[lang] = sum(w * bit for w, bit in zip(model.weight.tolist(), bits, strict=True)) / float(model.weight.sum())
+    lang = min(loss, key=loss.get)
+    return lang, 1 / sum(math.exp(-4 * (v - loss[lang])) for v in loss.values())
+
+
+def test_languages_are_the_nearest_codewords(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit_on(real)
+    texts = [r.text for r in real.orderBy("doc_id").limit(60).collect()] + ["ÀÉÎ straße", "a", "ab cd", "日本 語"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.identify(df, model).collect():
+        lang, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_languages_of_the_sample(spark):
+    rows = [(i, f"word{i} text{i}", f"l{i % 70:02d}") for i in range(2100)] + [(5000 + i, "more of it", "l69") for i in range(40)] + [(5000, "a first", "l69"), (None, "zz", "none"), (9, None, "null")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.fit_on(d, 3) for d in (df, df.repartition(7)))
+    assert len(one.langs) == language_id.MAX_LANGS and "l69" in one.langs and "none" not in one.langs
+    assert one.langs == two.langs and np.array_equal(one.w, two.w)
+
+
 def test_quality_fm(spark, docs, none):
     real, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_fm.score_documents(real, labels).join(labels, "doc_id").where("held_out").collect()
