@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from .pretokens import pieces
 from .textbuf import give_back, runs
 
-BLOCK_BYTES = 3_000_000
+#: Texts that are replayed together: larger blocks learn more rare pieces at once, smaller ones take less memory.
+BLOCK_BYTES, SMALL_BLOCK_BYTES = 3_000_000, 1_000_000
 MEMO_PIECES, MEMO_CHARS = 200_000, 64
 #: A merge at so few positions is applied one by one, as numpy's calls would cost more.
 FEW = 24
@@ -248,14 +249,15 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, ids, n_tokens, ids_sha256, decoded_sha256); keep_ids=False leaves ids out.
 
+    block_bytes bounds what a worker replays at once (one longer text is still taken whole); ids don't depend on it.
     decoded_sha256 is of the bytes that the ids give again."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_file, pattern)
-        for run in runs(batches, "text", BLOCK_BYTES):
+        for run in runs(batches, "text", block_bytes):
             texts = [t or "" for t in run.rows.column(1).to_pylist()]
             lists, n, ids_sha, text_sha = [], [], [], []
             for ids in own.encode(texts):

@@ -123,6 +123,11 @@ def brute_components(rows):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
+def test_ids_do_not_depend_on_blocks(spark, docs):
+    one, two = (bpe_replay.encode_documents(docs, RANKS, P.PATTERN, block_bytes=b).orderBy("doc_id").collect() for b in (40, bpe_replay.BLOCK_BYTES))
+    assert one == two
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_shingle_join(spark, monkeypatch, block):
     monkeypatch.setattr(shingle_join, "BLOCK", block)
