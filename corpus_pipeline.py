@@ -40,8 +40,10 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of what is left, a row for each; null texts count as empty."""
-    return bpe_replay.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of what is left, a row for each; null texts count as empty.
+
+    Small blocks, as the workers and heaps of the earlier stages live on."""
+    return bpe_replay.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, block_bytes=bpe_replay.SMALL_BLOCK_BYTES)
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("contamination", contamination), ("tokens", tokens)]
