@@ -28,4 +28,21 @@ SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON p.d = f.d
 """
 
-ORACLES = {"op4_chat_format": OP4, "op8_warc": OP8}
+OP13 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    CASE WHEN coalesce(text, '') = '' THEN [] ELSE regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') END AS units FROM documents
+), drawn AS (
+  SELECT doc_id, text, units, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut
+), parts AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:least(x, y)], ''), '') AS p, coalesce(array_to_string(units[least(x, y) + 1:greatest(x, y)], ''), '') AS m,
+    coalesce(array_to_string(units[greatest(x, y) + 1:], ''), '') AS s FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+ORACLES = {"op4_chat_format": OP4, "op8_warc": OP8, "op13_fill_middle": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, chat_format, decontaminate, language_id, main_text, permutation_index, quality_fm, shingle_join, token_table, warc_archive
+from . import bpe_replay, chat_format, decontaminate, fill_middle, language_id, main_text, paragraph_sketch, permutation_index, quality_fm, shingle_join, token_table, warc_archive, whitening
 from .shared import read_table
 
 
@@ -56,6 +56,22 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.fingerprint_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_table, op2_bpe_replay, op3_shingle_join, op4_chat_format, op5_decontaminate, op6_permutation_index, op7_language_id, op8_warc, op9_quality_fm, op10_main_text)
-}
+    f.__name__: f
+    for f in (
+        op1_token_table, op2_bpe_replay, op3_shingle_join, op4_chat_format, op5_decontaminate, op6_permutation_index, op7_language_id, op8_warc, op9_quality_fm, op10_main_text,
+        op11_whitening, op12_paragraph_sketch, op13_fill_middle,
+    )
+}
