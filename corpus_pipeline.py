@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marksheet.llm import bpe_replay, decontaminate, language_id, quality_fm, shingle_join
-from marksheet.llm.shared import materialise, read_table, without
+from marksheet.llm.shared import materialise, named, read_table, without
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five words, similarity 0.8), the document of smallest id stays, with all its rows.
 
-    Documents without words stay; rows without doc_id stay, as nothing can name them."""
-    found = shingle_join.near_duplicates(docs, shingle_join.Rule(words=5, percent=80))
-    return without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    Documents without words stay. Rows without doc_id come after all others, each text a document; of those with words and
+    an equal text one row stays."""
+    found = shingle_join.near_duplicates(named(docs), shingle_join.Rule(words=5, percent=80))
+    kept = without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(~nameless).unionByName(kept.where(nameless).dropDuplicates(["text"]))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, also with other numbers, names or units; of rows that repeat a doc_id, all
-    go if one of them holds an item. Null and empty texts hold none; rows without doc_id stay."""
-    return without(docs, decontaminate.find_contaminated(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text")))
+    go if one of them holds an item; of rows without doc_id, those whose text does. Null and empty texts hold none."""
+    return without(docs, decontaminate.find_contaminated(named(docs), read_table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ left out give), see needed: short items whole or nearly so, as a common phrase c
 alone don't reach also needs MIN_LITERAL different literal tokens.
 
 Defined results: null and empty texts and items match nothing; an item with fewer tokens than a window is matched
-whole from MIN_TOKENS tokens on; a doc_id or item_id that is null or repeated is matched like any other, and equal
-hits are given once; extra columns are ignored.
+whole from MIN_TOKENS tokens on; rows are told apart by id and text, so a doc_id or item_id that is null or repeated is
+matched like any other, each of its texts for itself; equal hits are given once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +36,21 @@ NEAR, NEAR_SHARE = 8, 0.25
 #: Up to so many window hashes of the benchmark (8 bytes each) go to every task; beyond, all windows are shuffled.
 MAX_BROADCAST = 4_000_000
 
-#: Numbers in words, and units, which count after a number.
-NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half".split()
+#: Numbers in words, and units, which count after a number; English, French, German and Spanish. Words that are
+#: common as something else (articles, "in", "on") are left out but for units, which stand after numbers alone.
+NUMBER_WORDS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille millions milliard milliards demi "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen milliarde milliarden "
+    "dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones"
+).split()
 UNIT_WORDS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms ton tons oz ounce ounces lb lbs pound pounds ml l liter liters litre litres gallon gallons "
     "second seconds sec minute minutes min hour hours hr hrs day days week weeks month months year years hz khz mhz ghz w kw kwh v volts amps j joule joules cal kcal pa kpa bar "
-    "dollar dollars cent cents euro euros usd eur gbp percent percentage degree degrees kmh mph bytes kb mb gb tb"
+    "dollar dollars cent cents euro euros usd eur gbp percent percentage degree degrees kmh mph bytes kb mb gb tb "
+    "mètre mètres kilomètre kilomètres gramme grammes kilo kilos tonne tonnes seconde secondes heure heures jour jours semaine semaines mois an ans année années degré degrés "
+    "meter metern kilometer kilometern gramm kilogramm tonnen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren grad prozent "
+    "metro metros kilómetro kilómetros gramo gramos tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados dólar dólares"
 ).split()
 NUM, NAME, UNIT = np.uint64(0x1111111111111111), np.uint64(0x2222222222222222), np.uint64(0x3333333333333333)
 
@@ -58,7 +67,14 @@ def _hashes_of(strings: list[str]) -> np.ndarray:
     return np.sort(word_hashes(buf, words(buf, offs)))
 
 
-_NUMBER_HASHES, _UNIT_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNIT_WORDS)
+class Lexicon:
+    """The words that count as numbers, and as units after a number, in small letters."""
+
+    def __init__(self, numbers: Iterable[str] = NUMBER_WORDS, units: Iterable[str] = UNIT_WORDS) -> None:
+        self.numbers, self.units = _hashes_of(sorted(set(numbers))), _hashes_of(sorted(set(units)))
+
+
+LEXICON = Lexicon()
 
 
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -66,7 +82,7 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == h if len(known) else np.zeros(len(h), bool)
 
 
-def canonical(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def canonical(run: Run, lexicon: Lexicon = LEXICON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes with placeholders, hashes of the words as they stand, and each text's first token."""
     data, w = run.data, words(run.data, run.offsets)
     if not len(w.start):
@@ -97,9 +113,9 @@ def canonical(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[1:] != 0x97)) + 1
     masked[capital] += 0x20  # accented Latin capitals count as small letters, as A-Z do
     plain = word_hashes(masked, core)
-    is_number = is_number[kept] | _among(plain, _NUMBER_HASHES)
+    is_number = is_number[kept] | _among(plain, lexicon.numbers)
     after = np.append(False, is_number[:-1]) & np.append(False, core.doc[1:] == core.doc[:-1])
-    is_unit = after & ~is_number & _among(plain, _UNIT_HASHES)
+    is_unit = after & ~is_number & _among(plain, lexicon.units)
     token = np.where(is_number, NUM, np.where(is_unit, UNIT, np.where(is_name[kept], NAME, plain)))
     return token, plain, core.first
 
@@ -107,10 +123,10 @@ def canonical(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 WINDOWS = "h long, exact boolean, pos int, tokens array<long>, plain array<long>"
 
 
-def _windows(batches: Iterable[pa.RecordBatch], key: str, sizes: list[int], wanted: np.ndarray | None, per_item: bool) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterable[pa.RecordBatch], key: list[str], sizes: list[int], wanted: np.ndarray | None, per_item: bool, lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     """A row for each window (of items: of one size that fits; of documents: of each size) that is wanted, as a template and as it stands."""
     for run in runs(batches, "text", RUN_BYTES // 2):
-        token, plain, first = canonical(run)
+        token, plain, first = canonical(run, lexicon)
         literal = ~((token == NUM) | (token == NAME) | (token == UNIT))
         lit = np.append(0, np.cumsum(literal))
         n = np.diff(first)
@@ -135,8 +151,8 @@ def _windows(batches: Iterable[pa.RecordBatch], key: str, sizes: list[int], want
                     grid = part[:, None] + np.arange(size)
                     lists = lambda x, n=len(part): pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(x.ravel().view(np.int64)))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays(
-                        [run.rows.column(0).take(pa.array(doc[part])), pa.array(rolled[part].view(np.int64)), pa.array(np.full(len(part), exact)), pa.array((part - first[doc[part]]).astype(np.int32)), lists(token[grid]), lists(plain[grid]), pa.array(n[doc[part]].astype(np.int32))],
-                        names=[key, "h", "exact", "pos", "tokens", "plain", "n"],
+                        [*(run.rows.column(c).take(pa.array(doc[part])) for c in range(len(key))), pa.array(rolled[part].view(np.int64)), pa.array(np.full(len(part), exact)), pa.array((part - first[doc[part]]).astype(np.int32)), lists(token[grid]), lists(plain[grid]), pa.array(n[doc[part]].astype(np.int32))],
+                        names=[*key, "h", "exact", "pos", "tokens", "plain", "n"],
                     )
 
 
@@ -145,19 +161,26 @@ def needed(n: Column, min_cover: float) -> Column:
     return F.greatest(F.ceil(n * F.lit(min_cover)), F.least(F.ceil(n * F.lit(SHORT_COVER)), F.lit(SHORT_TOKENS)), F.least(n, F.lit(WINDOW + 1)))
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
-    """docs(doc_id, text, ...) and benchmark(item_id, text, ...) to pairs (doc_id, item_id, covered, item_tokens, reworded).
+#: What tells rows apart: the id, which may be null or repeated, and two hashes of the text.
+DOC, ITEM = (["doc_id", "doc_a", "doc_b"], ["item_id", "item_a", "item_b"])
 
-    covered: tokens of the item in windows that match in the best neighbourhood; reworded: some slot of a template that counts has another value."""
+
+def _keyed(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.select(key[0], F.xxhash64("text").alias(key[1]), F.xxhash64(F.lit(7), F.col("text")).alias(key[2]), "text")
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER, lexicon: Lexicon = LEXICON) -> DataFrame:
+    """Like find_contaminated, with the columns DOC and ITEM: a row for each pair of a document's and an item's text."""
     sizes = list(range(MIN_TOKENS, WINDOW + 1))
     schema = f"{WINDOWS}, n int"
-    items = materialise(benchmark.select("item_id", "text").mapInArrow(lambda b: _windows(b, "item_id", sizes, None, True), f"item_id long, {schema}"), "benchmark-windows")
+    kinds = lambda key: "".join(f"{k} long, " for k in key)
+    items = materialise(_keyed(benchmark, ITEM).mapInArrow(lambda b: _windows(b, ITEM, sizes, None, True, lexicon), kinds(ITEM) + schema), "benchmark-windows")
     present = [r.size for r in items.select(F.size("tokens").alias("size")).distinct().collect()]
     hashes = items.select("h").distinct()
     wanted = None
     if hashes.count() <= MAX_BROADCAST:
         wanted = np.sort(np.array([r.h for r in hashes.toLocalIterator()], np.int64).view(np.uint64))
-    found = docs.select("doc_id", "text").mapInArrow(lambda b: _windows(b, "doc_id", sorted(present), wanted, False), f"doc_id long, {schema}")
+    found = _keyed(docs, DOC).mapInArrow(lambda b: _windows(b, DOC, sorted(present), wanted, False, lexicon), kinds(DOC) + schema)
     a, b = found.drop("n").alias("a"), items.alias("b")
     same = (F.col("a.exact") == F.col("b.exact")) & F.when(F.col("b.exact"), F.col("a.plain") == F.col("b.plain")).otherwise(F.col("a.tokens") == F.col("b.tokens"))
     placeholders = [int(x.view(np.int64)) for x in (NUM, NAME, UNIT)]
@@ -165,9 +188,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float =
     # What stands at each place that a window covers; null for the slots of a template.
     literal = F.when(F.col("b.exact"), F.col("b.plain")).otherwise(F.transform("b.tokens", lambda t: F.when(~t.isin(*placeholders), t)))
     span = F.transform(literal, lambda t, i: F.struct((F.col("b.pos") + i).alias("place"), t.alias("literal")))
-    hit = a.join(b, (F.col("a.h") == F.col("b.h")) & same).select("a.doc_id", "b.item_id", "b.n", "b.exact", (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), span.alias("span"), F.transform(slots, lambda s: F.struct(s["was"], s["now"])).alias("slots"))
+    hit = a.join(b, (F.col("a.h") == F.col("b.h")) & same).select(*[f"a.{k}" for k in DOC], *[f"b.{k}" for k in ITEM], "b.n", "b.exact", (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), span.alias("span"), F.transform(slots, lambda s: F.struct(s["was"], s["now"])).alias("slots"))
     # A diagonal of a pair has at most as many rows of a kind as the item has windows.
-    one = hit.groupBy("doc_id", "item_id", "n", "diagonal", "exact").agg(F.collect_set("span").alias("spans"), F.collect_set("slots").alias("slots"))
+    one = hit.groupBy(*DOC, *ITEM, "n", "diagonal", "exact").agg(F.collect_set("span").alias("spans"), F.collect_set("slots").alias("slots"))
     pairs = F.array_distinct(F.flatten("slots"))
     consistent = F.size(F.array_distinct(F.transform(pairs, lambda s: s["was"]))) == F.size(pairs)
     reworded = ~F.col("exact") & F.exists(pairs, lambda s: s["was"] != s["now"])
@@ -175,12 +198,19 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float =
     # so any two that differ by NEAR at most share one.
     near = F.greatest(F.lit(NEAR), F.floor(F.col("n") * F.lit(NEAR_SHARE)))
     area = F.floor(F.col("diagonal") / (near + 1))
-    placed = one.where(F.col("exact") | consistent).select("doc_id", "item_id", "n", "exact", reworded.alias("reworded"), F.explode(F.array(area - 1, area)).alias("area"), F.array_distinct(F.flatten("spans")).alias("span"))
+    placed = one.where(F.col("exact") | consistent).select(*DOC, *ITEM, "n", "exact", reworded.alias("reworded"), F.explode(F.array(area - 1, area)).alias("area"), F.array_distinct(F.flatten("spans")).alias("span"))
     placed = placed.select("*", F.explode("span").alias("at"))
-    cover = placed.groupBy("doc_id", "item_id", "n", "area").agg(
+    cover = placed.groupBy(*DOC, *ITEM, "n", "area").agg(
         F.size(F.collect_set("at.place")).alias("covered"), F.size(F.collect_set(F.when(F.col("exact"), F.col("at.place")))).alias("as_is"), F.size(F.collect_set("at.literal")).alias("literals"), F.max("reworded").alias("reworded")
     )
     need = needed(F.col("n"), min_cover)
     enough = cover.where((F.col("covered") >= need) & ((F.col("as_is") >= need) | (F.col("literals") >= MIN_LITERAL)))
-    best = enough.groupBy("doc_id", "item_id", "n").agg(F.max(F.struct("covered", (~F.col("reworded")).alias("same"))).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.covered").cast("int").alias("covered"), F.col("n").alias("item_tokens"), (~F.col("best.same")).alias("reworded"))
+    best = enough.groupBy(*DOC, *ITEM, "n").agg(F.max(F.struct("covered", (~F.col("reworded")).alias("same"))).alias("best"))
+    return best.select(*DOC, *ITEM, F.col("best.covered").cast("int").alias("covered"), F.col("n").alias("item_tokens"), (~F.col("best.same")).alias("reworded"))
+
+
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER, lexicon: Lexicon = LEXICON) -> DataFrame:
+    """docs(doc_id, text, ...) and benchmark(item_id, text, ...) to pairs (doc_id, item_id, covered, item_tokens, reworded).
+
+    covered: tokens of the item in windows that match in the best neighbourhood; reworded: some slot of a template that counts has another value."""
+    return contaminated_rows(docs, benchmark, min_cover, lexicon).select("doc_id", "item_id", "covered", "item_tokens", "reworded").distinct()

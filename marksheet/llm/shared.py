@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,9 +42,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 #: Ids up to this number (8 bytes each) are sent to every task; more are joined by shuffling.
 MAX_BROADCAST_IDS = 1_000_000
+#: Ids that stand in for missing ones are this or greater.
+FIRST_STAND_IN = 1 << 62
+
+
+def named_id() -> Column:
+    """The doc_id of a row of documents; for rows without one, a number that stands for their text."""
+    return F.coalesce("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 61)) + FIRST_STAND_IN)
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), where every row has an id."""
+    return docs.select(named_id().alias("doc_id"), "text")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids(doc_id); rows without doc_id stay."""
-    ids = materialise(ids.select("doc_id").distinct(), "dropped-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_anti")
+    """docs(doc_id, text, ...) without the rows whose named_id is among ids(doc_id)."""
+    ids = materialise(ids.select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, named_id() == ids.dropped_id, "left_anti")
