@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .textbuf import Run, runs
 
 BUCKETS = 4096
-#: Bound of the sample that is learned from: documents of a language, and languages.
-SAMPLE_PER_LANG, MAX_LANGS = 250, 64
+#: Bounds of the sample that is learned from: documents of a language, documents and bytes of all. Every language that is
+#: labelled has one document at least.
+SAMPLE_PER_LANG, SAMPLE_DOCS, SAMPLE_BYTES = 250, 16_000, 64_000_000
 UND = "und"
 AMBIGUOUS_GAP = 0.05
 
@@ -67,9 +68,10 @@ def codewords(n: int) -> np.ndarray:
         return np.array(rows, np.float32).reshape(n, -1)
     rng = np.random.default_rng(11)
     best, gap = None, -1
-    for _ in range(200):
+    for _ in range(min(200, max(3, 8_000_000 // n**2))):
         code = rng.choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n))))).astype(np.float32)
-        least = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        alike = code @ code.T - 2 * code.shape[1] * np.eye(n, dtype=np.float32)
+        least = int((code.shape[1] - alike.max()) // 2)
         if least > gap and (np.abs(code.sum(0)) < n).all():
             best, gap = code, least
     return best
@@ -82,8 +84,8 @@ class Model:
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Weighted logistic loss of each row against each codeword."""
         margin = np.clip(x @ self.w[:-1] + self.w[-1], -8, 8)
-        per_bit = np.log1p(np.exp(-margin[:, None, :] * self.code[None]))
-        return (per_bit * self.weight).sum(2) / max(1e-9, float(self.weight.sum()))
+        ones, rest = (self.code > 0) * self.weight, (self.code < 0) * self.weight
+        return (np.log1p(np.exp(-margin)) @ ones.T + np.log1p(np.exp(margin)) @ rest.T) / max(1e-9, float(self.weight.sum()))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is ambiguous."""
@@ -115,7 +117,8 @@ def fit(texts: list[str], langs: list[str], rounds: int = 120) -> Model | None:
     batch = pa.RecordBatch.from_pydict({"text": pa.array([*texts, *more], pa.string())})
     x = np.array([v for run in runs([batch], "text") for v in vectors(run)], np.float32)
     code = codewords(len(names))
-    y = code[[names.index(lang) for lang in [*langs, *tags]]]
+    number = {lang: k for k, lang in enumerate(names)}
+    y = code[[number[lang] for lang in [*langs, *tags]]]
     x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
     balance = {lang: 1 / n for lang, n in zip(*np.unique([*langs, *tags], return_counts=True), strict=True)}
     importance = np.array([balance[lang] for lang in [*langs, *tags]], np.float32)[:, None] / len(names)
@@ -134,15 +137,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_on(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
-    """Learns from at most per_lang documents, taken by the hash of their ids, of each of the MAX_LANGS commonest languages; of
-    texts that repeat an id and language, the smallest counts. Documents without id are not learned from."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").join(F.broadcast(langs), "lang", "left_semi").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
-    ids = ids.select("doc_id", "lang").distinct()
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+def fit_on(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, in_all: int = SAMPLE_DOCS, in_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Learns every language that is labelled, from at most per_lang documents of each, taken by the hash of their ids. With many
+    languages each has fewer, in_all documents and in_bytes bytes together, but one each. Of texts that repeat an id and
+    language, the smallest counts. Documents without id are not learned from."""
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    slim = known.select("doc_id", "lang", F.octet_length("text").alias("bytes"), (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)).alias("u"))
+    counts = slim.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    n_langs = counts.count()
+    each, share = max(1, min(per_lang, in_all // max(1, n_langs))), in_bytes // max(1, n_langs)
+    # The smallest hashes alone come to the sort: some more than are wanted of each language, however many rows it has.
+    near = slim.join(counts, "lang").where(F.col("u") * F.col("ids") < 3 * each + 40)
+    near = near.groupBy("lang", "doc_id", "u").agg(F.min("bytes").alias("bytes"))
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
+    ids = near.withColumn("k", F.row_number().over(order)).withColumn("sum", F.sum("bytes").over(order)).where((F.col("k") <= each) & ((F.col("k") == 1) | (F.col("sum") <= share)))
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.lang))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
