@@ -5,7 +5,9 @@ log-linear in what the node shows, parent-child potentials in the kind of edge.
 the leaves to the root and once back, level by level over all pages of a batch at once, and give exact marginals.
 The weights are fitted by gradient ascent on the likelihood of labelled pages, with the same messages.
 
-Features of a text block, as its share of legal words and of digits, are taken from the whole block.
+An element is content if content lies anywhere below it, so what isn't content has none below. Features of a text block, as
+its share of legal words and of digits, are taken from the whole block; legal words count outside articles alone, and the
+less the more of the page's blocks have them, as that is then what the page is about.
 
 Defined results: null or empty html, and a page whose text blocks are all unlikely, give an empty text; a page
 without any hint of its structure keeps what reads like prose; repeated rows give equal results; a null page_id or
@@ -48,14 +50,33 @@ for _k, _line in enumerate(NAME_KINDS.values()):
     for _w in _line.split():
         _NAME.setdefault(_w, []).append(_k)
 _DIGIT = re.compile(r"\d")
+#: Kinds of elements and names below which a text is no longer inside the article.
+_MAIN, _APART = list(TAG_KINDS).index("main"), {list(TAG_KINDS).index(k) for k in ("nav", "foot", "aside", "form")}
+_CONTENT = list(NAME_KINDS).index("content")
 #: Legal words; a block of which LEGAL_SHARE of the words or more are such shows the feature in full.
 _LEGAL, LEGAL_SHARE = re.compile("©|copyright|all rights|cookie"), 0.05
-N_TAG, N_NAME, N_TEXT = len(TAG_KINDS) + 1, len(NAME_KINDS), 9
+N_TAG, N_NAME, N_TEXT = len(TAG_KINDS) + 1, len(NAME_KINDS), 10
 N_NODE = 1 + N_TAG + N_NAME + N_TAG + N_TEXT
 #: Kinds of edges: element under element, text under element, and the same below an element with a telling name.
 N_EDGE = 4
 
 
+def _places(page: Page) -> tuple[list[bool], dict[int, float]]:
+    """For each node, whether it is inside an article; for each text block, how much it shows the feature of legal words."""
+    inside: list[bool] = []
+    share: dict[int, float] = {}
+    for k, (up, tag, names, text) in enumerate(zip(page.parent, page.tag, page.names, page.text, strict=True)):
+        if text is not None:
+            inside.append(inside[up])
+            share[k] = 0.0 if inside[up] else min(len(_LEGAL.findall(text.lower())) / (text.count(" ") + 1) / LEGAL_SHARE, 1.0)
+            continue
+        told, kind = [x for w in names for x in _NAME.get(w, ())], _TAG.get(tag)
+        apart = kind in _APART or any(x != _CONTENT for x in told)
+        inside.append(not apart and (kind == _MAIN or _CONTENT in told or (up >= 0 and inside[up])))
+    rest = 1 - sum(x > 0 for x in share.values()) / max(1, len(share))
+    return inside, {k: x * rest for k, x in share.items()}
+
+
 class Forest:
     """The trees of several pages as arrays; parents come before children."""
 
@@ -63,6 +84,7 @@ class Forest:
         base, parent, self.page_of, self.text = 0, [], [], []
         rows, cols, vals, edge = [], [], [], []
         for number, page in enumerate(pages):
+            inside, legal = _places(page)
             for k, (up, tag, names, text) in enumerate(zip(page.parent, page.tag, page.names, page.text, strict=True)):
                 node = base + k
                 parent.append(base + up if up >= 0 else -1)
@@ -78,12 +100,11 @@ class Forest:
                     feats.append((1 + N_TAG + N_NAME + _TAG.get(owner, N_TAG - 1), 1.0))
                     at = 1 + N_TAG + N_NAME + N_TAG
                     n, words = len(text), text.count(" ") + 1
-                    legal = len(_LEGAL.findall(text.lower())) / words
-                    feats += [(at, 1.0), (at + 1, min(np.log1p(words), 6.0) / 3), (at + 2, page.linked[k] / n), (at + 3, float(text[-1] in ".!?:\"”…")), (at + 4, min(legal / LEGAL_SHARE, 1.0)), (at + 5, float(words < 5)), (at + 6, (text.count(".") + text.count(",") + text.count(";")) / words), (at + 7, float(words > 25)), (at + 8, len(_DIGIT.findall(text)) / n)]
+                    feats += [(at, 1.0), (at + 1, min(np.log1p(words), 6.0) / 3), (at + 2, page.linked[k] / n), (at + 3, float(text[-1] in ".!?:\"”…")), (at + 4, legal[k]), (at + 5, float(words < 5)), (at + 6, (text.count(".") + text.count(",") + text.count(";")) / words), (at + 7, float(words > 25)), (at + 8, len(_DIGIT.findall(text)) / n), (at + 9, float(inside[k]))]
                 rows += [node] * len(feats)
                 cols += [c for c, _ in feats]
                 vals += [v for _, v in feats]
-                edge.append((text is not None) + 2 * bool(page.names[up] if up >= 0 else ()))
+                edge.append((text is not None) + 2 * any(w in _NAME for w in (page.names[up] if up >= 0 else ())))
             base += len(page.parent)
         self.n = base
         self.parent = np.array(parent, np.int64)
@@ -173,9 +194,15 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
     prose = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize()
 
-    def text(content: bool, a: int, b: int, end: str = ".") -> str:
+    topic = rng.random() < 0.15  # the article is about what notices and footers speak of
+    legal = ["cookie", "cookies", "copyright", "all rights reserved"]
+
+    def text(content: bool, a: int, b: int, end: str = ".", spiced: float = 0.0) -> str:
         truth.append(content)
-        return prose(a, b) + end
+        said = prose(a, b)
+        if rng.random() < (0.7 * topic if content else spiced):
+            said += " " + rng.choice(legal) + rng.choice(["", f" {word()} {word()}"])
+        return said + end
 
     def box(tag: str, names: list[str], inner) -> None:
         name = rng.choice([*names, None])
@@ -202,7 +229,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
         sure("div", ["ad", "ads", "advert", "sponsored", "promo", "ad-banner"], lambda: out.append(rng.choice(["{}", "<p>{}</p>", "<a href=x>{}</a>"]).format(text(False, 4, 25))))
 
     def notice() -> None:
-        sure(rng.choice(["div", "section"]), ["cookie-notice", "consent", "newsletter", "alert", "notice", "popup"], lambda: out.append(f"<p>{text(False, 6, 25)}</p><button>{text(False, 1, 2, '')}</button>"))
+        sure(rng.choice(["div", "section"]), ["cookie-notice", "consent", "newsletter", "alert", "notice", "popup"], lambda: out.append(f"<p>{text(False, 6, 25, spiced=0.5)}</p><button>{text(False, 1, 2, '')}</button>"))
 
     def side() -> None:
         def inner() -> None:
@@ -228,11 +255,21 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
         box("form", ["search", "login", "form"], lambda: out.append(f"<label>{text(False, 1, 3, ':')}</label><div>{text(False, 1, 4)}</div><button>{text(False, 1, 2, '')}</button>"))
 
     def foot(tag: str = "footer") -> None:
-        (box if tag == "footer" else sure)(tag, ["footer", "site-footer", "copyright"], lambda: out.append(f"<p>&copy; {text(False, 2, 12)}</p>" if rng.random() < 0.6 else f"&copy; {text(False, 3, 20)}"))
+        (box if tag == "footer" else sure)(tag, ["footer", "site-footer", "copyright"], lambda: out.append(f"<p>&copy; {text(False, 2, 12, spiced=0.3)}</p>" if rng.random() < 0.6 else f"&copy; {text(False, 3, 20, spiced=0.3)}"))
 
     def article() -> None:
         style = rng.random()
-        out.append(f"<h1>{text(True, 3, 14, rng.choice(['', '.']))}</h1>")
+        if rng.random() < 0.12:  # a few words are an article, too
+            if rng.random() < 0.5:
+                out.append(f"<h1>{text(True, 1, 3, '')}</h1>")
+            out.append(f"<p>{text(True, 1, 8)}</p>")
+            if rng.random() < 0.5:
+                rng.choice([side, advert, notice])()
+            return
+        title = f"<h1>{text(True, rng.choice([1, 3]), 14, rng.choice(['', '.']))}</h1>"
+        out.append(f"<header>{title}</header>" if rng.random() < 0.15 else title)
+        if rng.random() < 0.15:
+            out.append(f"{text(True, 1, 30, rng.choice([',', '.']))}<br>")
         for _ in range(rng.randint(1, 9)):
             kind = rng.random()
             if rng.random() < 0.06:  # legal phrases in articles are text, too
@@ -245,7 +282,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
             elif kind < 0.68:
                 out.append(f"<h2>{text(True, 1, 6, '')}</h2>")
             elif kind < 0.76:
-                out.append("<ul>" + "".join(f"<li>{text(True, 2, 14)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>")
+                out.append("<ul>" + "".join(f"<li>{text(True, 1, 14, rng.choice(['', '.', ';']))}</li>" for _ in range(rng.randint(2, 6))) + "</ul>")
             elif kind < 0.82:
                 out.append(f"<blockquote><p>{text(True, 4, 40)}</p></blockquote>")
             elif kind < 0.86:
@@ -270,13 +307,21 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
         box("header", ["masthead", "site-header"], lambda: (out.append(f"<div>{text(False, 1, 5, '')}</div>"), maybe(0.5, menu)))
     for p, f in ((0.75, menu), (0.5, advert), (0.3, notice), (0.2, form), (0.2, side)):
         maybe(p, f)
-    shape = rng.random()
+    shape, wraps = rng.random(), rng.choice([0, 0, 0, 1, 2, 4])
+    out.extend(rng.choice(["<div>", f'<div class="{word()}">', f'<div id="{rng.choice(["wrapper", "page", "container"])}">']) for _ in range(wraps))
     if shape < 0.55:
         box("article", ["post", "entry", "article"], article)
-    elif shape < 0.75:
+    elif shape < 0.72:
         box("main", ["content", "main"], article)
+    elif shape < 0.80:  # nothing but the page itself holds the article
+        article()
+    elif shape < 0.84:
+        out.append("<div>")
+        article()
+        out.append("</div>")
     else:
         sure("div", ["content", "post", "article-body", "main-content", "entry-content"], article)
+    out.append("</div>" * wraps)
     for p, f in ((0.4, side), (0.45, talk), (0.25, advert), (0.25, form), (0.15, notice)):
         maybe(p, f)
     maybe(0.8, lambda: foot(rng.choice(["footer", "footer", "div"])))
@@ -284,17 +329,14 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
 
 
 def node_labels(page: Page, truth: list[bool]) -> np.ndarray:
-    """Text blocks as told; an element is content if most of the text below it is."""
+    """Text blocks as told; an element is content if some text below it is."""
     n = len(page.parent)
-    good, every = np.zeros(n), np.zeros(n)
+    good = np.zeros(n, int)
     leaves = [k for k in range(n) if page.text[k] is not None]
-    for k, is_content in zip(leaves, truth, strict=True):
-        every[k] = len(page.text[k])
-        good[k] = every[k] * is_content
+    good[leaves] = truth
     for k in range(n - 1, 0, -1):
-        good[page.parent[k]] += good[k]
-        every[page.parent[k]] += every[k]
-    return (good * 2 > every).astype(int)
+        good[page.parent[k]] |= good[k]
+    return good
 
 
 _models: dict[tuple[int, int], Model] = {}

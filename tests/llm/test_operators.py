@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
+from gold_pages import GOLD
 from pyspark.sql import functions as F
 
 from marksheet.llm import bpe_replay, chat_format, decontaminate, language_id, main_text, permutation_index, quality_fm, shingle_join, token_table, warc_archive
@@ -318,6 +319,29 @@ def test_decontaminate_is_the_plain_search(spark):
     assert found == told and len(found) > 60 and {r for _, r in found.values()} == {True, False}
 
 
+def test_decontaminate_tells_rows_of_one_id_apart(spark):
+    item = "A shop sells 12 crates of plums at 5 dollars each and 7 crates of pears at 9 dollars. How much does it earn in all today?"
+    one, two = item.replace("12", "40").replace("5", "8"), item.replace("12", "31").replace("9", "6")
+    other = "Le train de Lyon part avec douze wagons et trente passagers vers la mer ce soir"
+    clean = "nothing of the kind stands in this text at all"
+    bench = spark.createDataFrame([(1, item), (1, other), (None, "Ein Bauer hat zwanzig Hühner und kauft noch sieben Gänse dazu auf dem Markt")], "item_id long, text string")
+    alone = {}
+    for text in (one, two, other.replace("douze", "seize"), "Ein Bauer hat neunzig Hühner und kauft noch vier Gänse dazu auf dem Markt", clean):
+        got = decontaminate.find_contaminated(spark.createDataFrame([(5, text)], "doc_id long, text string"), bench).collect()
+        alone[text] = {(r.item_id, r.covered, r.item_tokens, r.reworded) for r in got}
+    assert [len(x) for x in alone.values()] == [1, 1, 1, 1, 0] and all(r for x in alone.values() for _, _, _, r in x)
+    for ids in ([1] * 6, [None] * 6, [1, 2, 1, None, None, 1]):
+        docs = spark.createDataFrame(list(zip(ids, [*alone, one], strict=True)), "doc_id long, text string")
+        want = {(d, *hit) for d, t in zip(ids, [*alone, one], strict=True) for hit in alone[t]}
+        got = [tuple(r) for r in decontaminate.find_contaminated(docs, bench).collect()]
+        assert set(got) == want and len(got) == len(want)
+    # A lexicon of one's own: words of another language count as numbers.
+    item, text = "um barco leva oitenta caixas para o porto velho da cidade", "um barco leva noventa caixas para o porto velho da cidade"
+    pair = (spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    told = [[(r.covered, r.reworded) for r in decontaminate.find_contaminated(*pair, lexicon=x).collect()] for x in (decontaminate.LEXICON, decontaminate.Lexicon(["oitenta", "noventa"]))]
+    assert told == [[], [(11, True)]]
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16)).astype(np.float32)
@@ -412,8 +436,18 @@ def test_languages_of_the_sample(spark):
     rows = [(i, f"word{i} text{i}", f"l{i % 70:02d}") for i in range(2100)] + [(5000 + i, "more of it", "l69") for i in range(40)] + [(5000, "a first", "l69"), (None, "zz", "none"), (9, None, "null")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     one, two = (language_id.fit_on(d, 3) for d in (df, df.repartition(7)))
-    assert len(one.langs) == language_id.MAX_LANGS and "l69" in one.langs and "none" not in one.langs
-    assert one.langs == two.langs and np.array_equal(one.w, two.w)
+    assert one.langs == [f"l{k:02d}" for k in range(70)] == two.langs and np.array_equal(one.w, two.w)
+    # Many rows of one id are one document of its language; bounds on all documents and bytes leave one of each language.
+    many = spark.createDataFrame([(0, f"abc def {i}", "x") for i in range(3000)] + [(i, f"ghi jkl {'mno ' * 50}", "y") for i in range(8, 40)], "doc_id long, text string, lang string")
+    assert language_id.fit_on(many, in_all=2).langs == language_id.fit_on(many, in_bytes=1).langs == ["x", "y"]
+
+
+def test_codewords_of_many_languages():
+    for n in (8, 70, 700):
+        code = language_id.codewords(n)
+        apart = code.shape[1] - code @ code.T
+        assert code.shape == (n, int(np.ceil(10 * np.log2(n)))) and (apart + 1000 * np.eye(n)).min() / 2 >= code.shape[1] * 0.12
+        assert (np.abs(code.sum(0)) < n).all()
 
 
 def test_quality_fm(spark, docs, none):
@@ -504,20 +538,32 @@ def test_main_text_on_made_pages():
     assert wrong / total < 0.03
 
 
+@pytest.mark.parametrize("name", GOLD)
+def test_main_text_of_hand_written_pages(name):
+    source, blocks = GOLD[name]
+    assert main_text.default_model().texts([main_text.parse(source)]) == ["\n\n".join(blocks)]
+
+
+def test_elements_are_content_if_some_text_below_is():
+    page = main_text.parse("<article><p>a</p><aside>b b b b</aside></article><div>c</div>")
+    labels = dict(zip(((t or page.tag[k]) for k, t in enumerate(page.text)), main_text.node_labels(page, [True, False, False]).tolist(), strict=True))
+    assert labels == {"html": 1, "article": 1, "p": 1, "a": 1, "aside": 0, "b b b b": 0, "div": 0, "c": 0}
+
+
 def test_features_see_whole_blocks():
     filler, notice = "lorem ipsum dolor sit amet consetetur " * 8, "We use cookies, read the cookie policy. Copyright 2024 12345 Example, all rights reserved. "
     model, seen = main_text.default_model(), []
     for text in (notice + filler, filler + notice, filler * 2):
-        page = main_text.parse(f"<html><body><div>{text}end.</div></body></html>")
+        page = main_text.parse(f"<html><body><div>{text}end.</div><p>More.</p></body></html>")
         forest = main_text.Forest([page])
         leaf = next(k for k, t in enumerate(page.text) if t is not None)
         last = forest.rows == leaf
         seen.append((dict(zip((forest.cols[last] - main_text.N_NODE).tolist(), forest.vals[last].tolist(), strict=True)), forest.marginals(model.w, model.pair)[0][leaf]))
     (early, p_early), (late, p_late), (plain, p_plain) = seen
     assert early == late and p_early == p_late < p_plain
-    assert early[-5] == 1 and early[-1] > 0 == plain[-5] == plain[-1]
-    long = main_text.Forest([main_text.parse(f"<p>{'word ' * 4000} a cookie was baked.</p>")])
-    assert 0 < long.vals[long.cols == main_text.N_NODE - 5][0] < 0.01
+    assert early[-6] == 0.5 and early[-2] > 0 == plain[-6] == plain[-2]
+    long = main_text.Forest([main_text.parse(f"<p>{'word ' * 4000} a cookie was baked.</p><p>more</p>")])
+    assert 0 < long.vals[long.cols == main_text.N_NODE - 6][0] < 0.01
 
 
 def test_marginals_are_exact():
