@@ -25,6 +25,8 @@ BUCKETS = 4096
 #: Bounds of the sample that is learned from: documents of a language, documents and bytes of all. Every language that is
 #: labelled has one document at least.
 SAMPLE_PER_LANG, SAMPLE_DOCS, SAMPLE_BYTES = 250, 16_000, 64_000_000
+#: Counts of up to so many languages go to every task; more are joined by shuffling.
+MAX_BROADCAST = 100_000
 UND = "und"
 AMBIGUOUS_GAP = 0.05
 
@@ -147,7 +149,7 @@ def fit_on(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, in_all: int = SAMPL
     n_langs = counts.count()
     each, share = max(1, min(per_lang, in_all // max(1, n_langs))), in_bytes // max(1, n_langs)
     # The smallest hashes alone come to the sort: some more than are wanted of each language, however many rows it has.
-    near = slim.join(counts, "lang").where(F.col("u") * F.col("ids") < 3 * each + 40)
+    near = slim.join(F.broadcast(counts) if n_langs <= MAX_BROADCAST else counts, "lang").where(F.col("u") * F.col("ids") < 3 * each + 40)
     near = near.groupBy("lang", "doc_id", "u").agg(F.min("bytes").alias("bytes"))
     order = Window.partitionBy("lang").orderBy("u", "doc_id")
     ids = near.withColumn("k", F.row_number().over(order)).withColumn("sum", F.sum("bytes").over(order)).where((F.col("k") <= each) & ((F.col("k") == 1) | (F.col("sum") <= share)))
