@@ -25,14 +25,32 @@ def primary_exercises(exercises: DataFrame) -> DataFrame:
     return exercises.where("kind = 'functions'").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
-def plan_tests(tests: DataFrame, blockers: DataFrame, missing: DataFrame) -> DataFrame:
-    """tests(project_id, test_id, file, function, pos, ...) with blocked_by, the first that holds: the file's blocker, then
-    that the function is missing: missing(project_id, file, function). Of tests of one id the first is kept."""
-    first = Window.partitionBy("project_id", "test_id").orderBy("pos")
-    one = tests.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    gone = missing.distinct().withColumn("gone", F.concat(F.lit("function:"), "function"))
-    rows = one.join(blockers, ["project_id", "file"], "left").join(gone, ["project_id", "file", "function"], "left")
-    return rows.withColumn("blocked_by", F.coalesce("blocker", "gone")).drop("blocker", "gone")
+def runnable_exercises(exercises: DataFrame, file_map: DataFrame, blockers: DataFrame) -> DataFrame:
+    """The primary exercise of each file that a project can run: (project_id, subject_id, file, exercise_id, module_path)."""
+    rows = file_map.where("found is not null").join(primary_exercises(exercises), ["subject_id", "file"]).join(blockers, ["project_id", "file"], "left_anti")
+    return rows.select("project_id", "subject_id", "file", "exercise_id", F.col("found").alias("module_path"))
+
+
+def plan_tests(tests: DataFrame, exercises: DataFrame, file_map: DataFrame, blockers: DataFrame, functions: DataFrame) -> DataFrame:
+    """What becomes of each test: tests(project_id, subject_id, test_id, exercise_id, function, pos), where a test without
+    function is a script; functions(project_id, path, function) are those that modules define.
+
+    Returns (project_id, test_id, exercise_id, kind, outcome, blocked_by, module_path), also an import job for each primary
+    exercise that can run. outcome: unknown_exercise, blocked, run, or repeated. What is blocked never takes an id: of the rest
+    of one id the first runs, imports before functions before scripts, then by pos."""
+    imports = runnable_exercises(exercises, file_map, blockers).select("project_id", F.concat(F.lit("import:"), "exercise_id").alias("test_id"), "exercise_id", F.lit("import").alias("kind"), F.lit(0).alias("stage"), "module_path")
+    known = exercises.select("subject_id", "exercise_id", "file").withColumn("known", F.lit(True))
+    rows = tests.join(known, ["subject_id", "exercise_id"], "left").join(file_map.select("project_id", "subject_id", "file", F.col("found").alias("module_path")), ["project_id", "subject_id", "file"], "left").join(blockers, ["project_id", "file"], "left")
+    defined = functions.select("project_id", F.col("path").alias("module_path"), "function").distinct().withColumn("defined", F.lit(True))
+    rows = rows.join(defined, ["project_id", "module_path", "function"], "left")
+    is_script = F.col("function").isNull()
+    absent = F.when(F.col("module_path").isNull(), F.concat(F.lit("structure:file:"), "file")).when(~is_script & F.col("defined").isNull(), F.concat(F.lit("function:"), "exercise_id", F.lit(":"), "function"))
+    blocked = F.when(F.col("known").isNotNull(), F.coalesce("blocker", absent))
+    rows = rows.select("project_id", "test_id", "exercise_id", F.when(is_script, "script").otherwise("function").alias("kind"), F.when(is_script, 2).otherwise(1).alias("stage"), "module_path", "pos", "known", blocked.alias("blocked_by"))
+    every = rows.unionByName(imports.withColumn("known", F.lit(True)), allowMissingColumns=True).withColumn("open", F.col("known").isNotNull() & F.col("blocked_by").isNull())
+    first = Window.partitionBy("project_id", "test_id", "open").orderBy("stage", "pos", "exercise_id")
+    outcome = F.when(F.col("known").isNull(), "unknown_exercise").when(~F.col("open"), "blocked").when(F.row_number().over(first) == 1, "run").otherwise("repeated")
+    return every.select("project_id", "test_id", "exercise_id", "kind", outcome.alias("outcome"), "blocked_by", F.when(F.col("open"), F.col("module_path")).alias("module_path"))
 
 
 def repeated_ids(rows: DataFrame, *keys: str) -> DataFrame:

@@ -106,41 +106,65 @@ def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PL.with_results(jobs.select("run_id", "job_id"), results)
 
 
-_MAP = """fm AS (SELECT p_partkey % 40 AS project_id, 's0' AS subject_id, 'src/m' || (p_partkey % 5) || '.py' AS file, CASE WHEN p_partkey % 3 > 0 THEN 'src/m' || (p_partkey % 5) || '.py' END AS found FROM part WHERE p_partkey <= 200),
-mods AS (SELECT DISTINCT project_id, found AS path, project_id % 7 > 0 AS ok FROM fm WHERE found IS NOT NULL),
+_MAP = """fm AS (SELECT DISTINCT p_partkey % 40 AS project_id, 's0' AS subject_id, 'src/m' || (p_partkey // 40 % 6) || '.py' AS file, CASE WHEN (p_partkey % 40 + p_partkey // 40 % 6) % 4 > 0 THEN 'app/m' || (p_partkey // 40 % 6) || '.py' END AS found FROM part),
+mods AS (SELECT DISTINCT project_id, found AS path, (project_id + length(found) + ascii(found[6])) % 7 > 0 AS ok FROM fm WHERE found IS NOT NULL),
+fn AS (SELECT DISTINCT p_partkey % 40 AS project_id, 'app/m' || (p_partkey // 40 % 6) || '.py' AS path, 'f' || (p_partkey // 3 % 7) AS "function" FROM part),
 blk AS (SELECT * FROM (SELECT p.project_id, f.file, CASE WHEN fm.found IS NULL THEN 'structure:file:' || f.file WHEN NOT coalesce(mods.ok, false) THEN 'syntax:' || f.file END AS blocker FROM (SELECT DISTINCT project_id, subject_id FROM fm) p JOIN (SELECT DISTINCT subject_id, file FROM ex) f USING (subject_id)
-  LEFT JOIN (SELECT project_id, subject_id, file, max(found) AS found FROM fm GROUP BY ALL) fm ON fm.project_id = p.project_id AND fm.file = f.file LEFT JOIN mods ON mods.project_id = p.project_id AND mods.path = fm.found) WHERE blocker IS NOT NULL)"""
+  LEFT JOIN fm ON fm.project_id = p.project_id AND fm.file = f.file LEFT JOIN mods ON mods.project_id = p.project_id AND mods.path = fm.found) WHERE blocker IS NOT NULL),
+prim AS (SELECT fm.project_id, fm.subject_id, fm.file, e.exercise_id, fm.found AS module_path FROM fm JOIN (SELECT * FROM ex WHERE pos <> 2 QUALIFY row_number() OVER (PARTITION BY subject_id, file ORDER BY bonus, pos) = 1) e ON e.subject_id = fm.subject_id AND e.file = fm.file
+  WHERE fm.found IS NOT NULL AND NOT EXISTS (SELECT 1 FROM blk WHERE blk.project_id = fm.project_id AND blk.file = fm.file))"""
 
 
-def _blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_partkey")
-    path = F.concat(F.lit("src/m"), (n % 5).cast("string"), F.lit(".py"))
-    fm = A.table(spark, sf_dir, "part").where(n <= 200).select((n % 40).alias("project_id"), F.lit("s0").alias("subject_id"), path.alias("file"), F.when(n % 3 > 0, path).alias("found"))
-    fm = fm.groupBy("project_id", "subject_id", "file").agg(F.max("found").alias("found"))
-    mods = fm.where("found is not null").select("project_id", F.col("found").alias("path"), (F.col("project_id") % 7 > 0).alias("ok"))
+def _file_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as the files that projects were found to have; two thirds of them where the subject wants them."""
+    n, k = F.col("p_partkey"), F.floor(F.col("p_partkey") / 40) % 6
+    name = lambda folder: F.concat(F.lit(folder), k.cast("string"), F.lit(".py"))
+    return A.table(spark, sf_dir, "part").select((n % 40).alias("project_id"), F.lit("s0").alias("subject_id"), name("src/m").alias("file"), F.when((n % 40 + k) % 4 > 0, name("app/m")).alias("found")).distinct()
+
+
+def _blockers(spark: SparkSession, sf_dir: str, fm: DataFrame) -> DataFrame:
+    ok = (F.col("project_id") + F.length("found") + F.ascii(F.substring("found", 6, 1))) % 7 > 0
+    mods = fm.where("found is not null").select("project_id", F.col("found").alias("path"), ok.alias("ok"))
     return PL.file_blockers(A.exercises(spark), fm, mods)
 
 
+def _kinds(spark: SparkSession) -> DataFrame:
+    return A.exercises(spark).withColumn("kind", F.when(F.col("pos") == 2, "script").otherwise("functions"))
+
+
 @query(f"WITH {A.EXERCISES}, {_MAP} SELECT * FROM blk")
 def file_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blockers(spark, sf_dir)
+    return _blockers(spark, sf_dir, _file_map(spark, sf_dir))
 
 
-_TESTS = """tests AS (SELECT l_suppkey % 40 AS project_id, 't' || (l_partkey % 500) AS test_id, 'src/m' || (l_orderkey % 6) || '.py' AS file, 'f' || (l_partkey % 9) AS "function", struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_extendedprice) AS pos FROM lineitem)"""
+_TESTS = """tests AS (SELECT l_suppkey % 40 AS project_id, 's0' AS subject_id, CASE WHEN l_partkey % 97 = 0 THEN 'import:ex' || (l_partkey % 3) ELSE 't' || (l_partkey % 500) END AS test_id, 'ex' || (l_orderkey % 9) AS exercise_id, CASE WHEN l_linenumber <> 3 THEN 'f' || (l_partkey % 9) END AS "function",
+  struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_extendedprice) AS pos FROM lineitem)"""
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.struct(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_partkey").alias("c"), F.col("l_suppkey").alias("d"), F.col("l_extendedprice").alias("e"))
-    name = lambda p, c, n, e="": F.concat(F.lit(p), (F.col(c) % n).cast("string"), F.lit(e))
-    return A.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("project_id"), name("t", "l_partkey", 500).alias("test_id"), name("src/m", "l_orderkey", 6, ".py").alias("file"), name("f", "l_partkey", 9).alias("function"), pos.alias("pos"))
+    name = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    test_id = F.when(F.col("l_partkey") % 97 == 0, name("import:ex", "l_partkey", 3)).otherwise(name("t", "l_partkey", 500))
+    return A.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 40).alias("project_id"), F.lit("s0").alias("subject_id"), test_id.alias("test_id"), name("ex", "l_orderkey", 9).alias("exercise_id"), F.when(F.col("l_linenumber") != 3, name("f", "l_partkey", 9)).alias("function"), pos.alias("pos")
+    )
 
 
-@query(f"""WITH {A.EXERCISES}, {_MAP}, {_TESTS}, one AS (SELECT * FROM tests QUALIFY row_number() OVER (PARTITION BY project_id, test_id ORDER BY pos) = 1)
-SELECT o.project_id, o.test_id, o.file, o."function", coalesce(blk.blocker, CASE WHEN o."function" IN ('f2', 'f5') AND o.project_id % 2 = 0 THEN 'function:' || o."function" END) AS blocked_by FROM one o LEFT JOIN blk ON blk.project_id = o.project_id AND blk.file = o.file""")
+@query(f"""WITH {A.EXERCISES}, {_MAP}, {_TESTS}, told AS (
+  SELECT t.project_id, t.test_id, t.exercise_id, CASE WHEN t."function" IS NULL THEN 'script' ELSE 'function' END AS kind, CASE WHEN t."function" IS NULL THEN 2 ELSE 1 END AS stage, t.pos, fm.found AS module_path, ex.exercise_id IS NOT NULL AS known,
+    CASE WHEN ex.exercise_id IS NULL THEN NULL WHEN blk.blocker IS NOT NULL THEN blk.blocker WHEN fm.found IS NULL THEN 'structure:file:' || ex.file WHEN t."function" IS NOT NULL AND fn."function" IS NULL THEN 'function:' || t.exercise_id || ':' || t."function" END AS blocked_by
+  FROM tests t LEFT JOIN ex ON ex.exercise_id = t.exercise_id LEFT JOIN fm ON fm.project_id = t.project_id AND fm.file = ex.file LEFT JOIN blk ON blk.project_id = t.project_id AND blk.file = ex.file
+    LEFT JOIN fn ON fn.project_id = t.project_id AND fn.path = fm.found AND fn."function" = t."function"
+  UNION ALL SELECT project_id, 'import:' || exercise_id, exercise_id, 'import', 0, NULL, module_path, true, NULL FROM prim)
+SELECT project_id, test_id, exercise_id, kind, CASE WHEN NOT known THEN 'unknown_exercise' WHEN blocked_by IS NOT NULL THEN 'blocked'
+    WHEN row_number() OVER (PARTITION BY project_id, test_id, known AND blocked_by IS NULL ORDER BY stage, pos, exercise_id) = 1 THEN 'run' ELSE 'repeated' END AS outcome, blocked_by,
+  CASE WHEN known AND blocked_by IS NULL THEN module_path END AS module_path FROM told""")
 def plan_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = _tests(spark, sf_dir)
-    missing = tests.where("project_id % 2 = 0 and function in ('f2', 'f5')").select("project_id", "file", "function").distinct()
-    return PL.plan_tests(tests, _blockers(spark, sf_dir), missing).drop("pos")
+    fm = _file_map(spark, sf_dir)
+    n = F.col("p_partkey")
+    path = F.concat(F.lit("app/m"), (F.floor(n / 40) % 6).cast("string"), F.lit(".py"))
+    functions = A.table(spark, sf_dir, "part").select((n % 40).alias("project_id"), path.alias("path"), F.concat(F.lit("f"), (F.floor(n / 3) % 7).cast("string")).alias("function"))
+    return PL.plan_tests(_tests(spark, sf_dir), _kinds(spark), fm, _blockers(spark, sf_dir, fm), functions)
 
 
 @query(f"WITH {_TESTS} SELECT project_id, test_id, count(*) AS times FROM tests GROUP BY ALL HAVING count(*) > 1")
@@ -148,9 +172,10 @@ def repeated_test_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PL.repeated_ids(_tests(spark, sf_dir), "project_id", "test_id")
 
 
-@query(f"WITH {A.EXERCISES} SELECT subject_id, file, exercise_id FROM ex WHERE pos <> 2 QUALIFY row_number() OVER (PARTITION BY subject_id, file ORDER BY bonus, pos) = 1")
+@query(f"WITH {A.EXERCISES}, {_MAP} SELECT project_id, file, exercise_id FROM prim")
 def primary_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PL.primary_exercises(A.exercises(spark).withColumn("kind", F.when(F.col("pos") == 2, "script").otherwise("functions"))).select("subject_id", "file", "exercise_id")
+    fm = _file_map(spark, sf_dir)
+    return PL.runnable_exercises(_kinds(spark), fm, _blockers(spark, sf_dir, fm)).select("project_id", "file", "exercise_id")
 
 
 # ---------------------------------------------------------------- orders

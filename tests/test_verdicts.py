@@ -62,9 +62,18 @@ def test_plans(spark):
     mods = spark.createDataFrame([(1, "src/a.py", True), (1, "b.py", False)], "project_id int, path string, ok boolean")
     blockers = PL.file_blockers(ex, fm, mods)
     assert {r.file: r.blocker for r in blockers.collect()} == {"b.py": "syntax:b.py", "d.py": "structure:file:d.py"}
-    tests = spark.createDataFrame([(1, "t1", "a.py", "f", 1), (1, "t1", "b.py", "f", 2), (1, "t2", "b.py", "g", 3), (1, "t3", "a.py", "g", 4)], "project_id int, test_id string, file string, function string, pos int")
-    missing = spark.createDataFrame([(1, "a.py", "g"), (1, "b.py", "g")], "project_id int, file string, function string")
-    assert {r.test_id: (r.file, r.blocked_by) for r in PL.plan_tests(tests, blockers, missing).collect()} == {"t1": ("a.py", None), "t2": ("b.py", "syntax:b.py"), "t3": ("a.py", "function:g")}
+    exercises = spark.createDataFrame([("s", "e0", "a.py", True, 0, "functions"), ("s", "e1", "a.py", False, 1, "functions"), ("s", "e2", "b.py", False, 2, "functions"), ("s", "e3", "c.txt", False, 3, "script"), ("s", "e4", "d.py", False, 4, "functions")], "subject_id string, exercise_id string, file string, bonus boolean, pos int, kind string")
+    assert [(r.exercise_id, r.module_path) for r in PL.runnable_exercises(exercises, fm, blockers).collect()] == [("e1", "src/a.py")]
+    rows = [("t1", "e2", "f", 1), ("t1", "e1", "f", 2), ("t1", "e1", "f", 3), ("t2", "e1", "g", 4), ("t3", "e3", None, 5), ("t4", "e9", "f", 6), ("import:e1", "e1", "f", 7), ("t5", "e4", None, 8), ("t3", "e1", "f", 9)]
+    tests = spark.createDataFrame([(1, "s", *r) for r in rows], "project_id int, subject_id string, test_id string, exercise_id string, function string, pos int")
+    functions = spark.createDataFrame([(1, "src/a.py", "f"), (1, "src/a.py", "f"), (1, "b.py", "g")], "project_id int, path string, function string")
+    # A blocked test doesn't take its id; imports come before functions, these before scripts.
+    got = sorted((r.test_id, r.exercise_id, r.kind, r.outcome, r.blocked_by or "", r.module_path or "") for r in PL.plan_tests(tests, exercises, fm, blockers, functions).collect())
+    assert got == sorted([
+        ("import:e1", "e1", "import", "run", "", "src/a.py"), ("import:e1", "e1", "function", "repeated", "", "src/a.py"), ("t1", "e2", "function", "blocked", "syntax:b.py", ""), ("t1", "e1", "function", "run", "", "src/a.py"),
+        ("t1", "e1", "function", "repeated", "", "src/a.py"), ("t2", "e1", "function", "blocked", "function:e1:g", ""), ("t3", "e1", "function", "run", "", "src/a.py"), ("t3", "e3", "script", "repeated", "", "c.txt"),
+        ("t4", "e9", "function", "unknown_exercise", "", ""), ("t5", "e4", "script", "blocked", "structure:file:d.py", ""),
+    ])
     budget = PL.time_budgets(spark.createDataFrame([(1, 5.0), (1, 1.0)], "run_id int, timeout double")).first()
     assert (budget.seconds, budget.workers) == (10.0 / 2 + 7.0 + 5.0, 2)
 
