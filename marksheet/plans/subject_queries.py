@@ -1,11 +1,12 @@
-"""Queries of grounding, near misses, printed texts and roots over the driver's tables, with their SQL."""
+"""Queries of grounding, near misses, printed texts, roots and outlines over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marksheet.operators import grounding as G
+from marksheet.operators import outlines as O
 from marksheet.operators import roots as R
 from marksheet.operators import similar_names as N
 from marksheet.operators import source_map as M
@@ -131,3 +132,42 @@ def detected_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = [("src/m1.py", "file"), ("src/util/m3.py", "file"), ("src/m4.py", "file"), ("app/m2.py", "file"), ("src", "directory"), ("doc/x.txt", "file")]
     wanted = F.inline(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind")) for path, kind in expected]))
     return R.detect_roots(tree, tree.select("project_id").distinct().select("project_id", wanted)).drop("note")
+
+
+# ---------------------------------------------------------------- outlines
+
+_LINES = """lines AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos, (l_partkey % 4)::INT AS k, (l_suppkey % 3)::INT AS m, l_partkey AS n FROM lineitem)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents, their items as lines in an order of their own."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    return A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("pos"), (F.col("l_partkey") % 4).cast("int").alias("k"), (F.col("l_suppkey") % 3).cast("int").alias("m"), F.col("l_partkey").alias("n"))
+
+
+@query(f"""WITH {_LINES}, b AS (SELECT doc_id, pos, m > 0 AS heading, k + 1 AS level, 't' || n AS text FROM lines), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, count(*) FILTER (WHERE level = 1) OVER (PARTITION BY doc_id) AS tops FROM b WHERE heading),
+e AS (SELECT * FROM h WHERE NOT (nth = 1 AND level = 1 AND tops = 1)), t AS (SELECT * FROM h WHERE nth = 1 AND level = 1 AND tops = 1),
+open AS (SELECT r.doc_id, r.pos, string_agg(e.text, ' > ' ORDER BY e.pos) AS path FROM b r JOIN e ON e.doc_id = r.doc_id AND e.pos <= r.pos WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.doc_id = e.doc_id AND f.pos > e.pos AND f.pos <= r.pos AND f.level <= e.level) GROUP BY ALL)
+SELECT b.doc_id, b.pos, coalesce(t.text, open.path, '') AS section FROM b LEFT JOIN open USING (doc_id, pos) LEFT JOIN t USING (doc_id, pos)""")
+def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _lines(spark, sf_dir).select("doc_id", "pos", F.when(F.col("m") > 0, "heading").otherwise("paragraph").alias("kind"), F.when(F.col("m") > 0, F.col("k") + 1).alias("level"), F.concat(F.lit("t"), F.col("n").cast("string")).alias("text"))
+    return O.heading_sections(blocks).select("doc_id", "pos", "section")
+
+
+@query(f"""WITH {_LINES}, b AS (SELECT doc_id, pos, k * 2 + m AS width, 'n' || n || CASE WHEN n % 5 = 0 THEN '/' ELSE '' END AS name FROM lines), c AS (SELECT *, rtrim(name, '/') AS clean, coalesce(lead(width) OVER (PARTITION BY doc_id ORDER BY pos) > width, false) AS has_children FROM b),
+up AS (SELECT r.doc_id, r.pos, string_agg(e.clean, '/' ORDER BY e.pos) AS path FROM c r JOIN c e ON e.doc_id = r.doc_id AND e.pos < r.pos AND e.width < r.width WHERE NOT EXISTS (SELECT 1 FROM c f WHERE f.doc_id = e.doc_id AND f.pos > e.pos AND f.pos < r.pos AND f.width <= e.width) GROUP BY ALL)
+SELECT doc_id, pos, coalesce(up.path || '/', '') || clean AS path, name[-1:] = '/' OR has_children AS is_dir, has_children FROM c LEFT JOIN up USING (doc_id, pos)""")
+def listing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("n"), F.col("n").cast("string"), F.when(F.col("n") % 5 == 0, "/").otherwise(""))
+    return O.listing_paths(_lines(spark, sf_dir).select("doc_id", "pos", (F.col("k") * 2 + F.col("m")).alias("width"), name.alias("name"))).select("doc_id", "pos", "path", "is_dir", "has_children")
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT doc_id, pos, CASE WHEN pos = 1 AND m = 0 THEN 0 ELSE k + 1 END AS level, NOT (pos = 1 AND m = 0) AS heading, n % 3 = 0 AS file, n % 4 = 1 AS title, n % 29 = 3 AS body FROM lines),
+a AS (SELECT *, max(CASE WHEN file THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS ref FROM s),
+r AS (SELECT a.*, CASE WHEN a.file THEN 'exercise' WHEN a.ref IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s x, s e WHERE e.doc_id = a.doc_id AND e.pos = a.ref AND x.doc_id = a.doc_id AND x.pos > a.ref AND x.pos <= a.pos AND (NOT x.heading OR x.level <= e.level)) THEN 'part' ELSE 'other' END AS role FROM a),
+o AS (SELECT *, max(CASE WHEN role = 'other' AND heading AND title THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS op FROM r)
+SELECT doc_id, pos, role, CASE WHEN role <> 'other' THEN ref END AS exercise_pos, CASE WHEN role = 'exercise' THEN title OR body OR (op IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s x, s e WHERE e.doc_id = o.doc_id AND e.pos = o.op AND x.doc_id = o.doc_id AND x.pos > o.op AND x.pos <= o.pos AND x.heading AND x.level <= e.level)) END AS bonus FROM o""")
+def exercise_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, n = (F.col("pos") == 1) & (F.col("m") == 0), F.col("n")
+    rows = _lines(spark, sf_dir).select("doc_id", "pos", F.when(first, 0).otherwise(F.col("k") + 1).alias("level"), (~first).alias("has_heading"), (n % 3 == 0).alias("has_file"), (n % 4 == 1).alias("bonus_title"), (n % 29 == 3).alias("bonus_body"))
+    return O.exercise_sections(rows).select("doc_id", "pos", "role", "exercise_pos", "bonus")
