@@ -1,9 +1,10 @@
 """What the result of a job says: ordered ladders, the first rung that fits counts. Values are (kind, num, text) columns:
-kind is the Python type's name, num the number of an int, float or bool, text what str() gives."""
+kind is the Python type's name, num the number of an int, float or bool, text what str() gives. Containers are tables of
+their parts, see match_containers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marksheet.functions.text import strip
@@ -57,6 +58,30 @@ def match(e: Column, a: Column, tolerant: Column) -> Column:
     )
 
 
+#: How well values match, best first, and the kinds that hold others.
+MATCHES = ("equal", "close", "int_for_float", "different")
+CONTAINERS = ("list", "tuple", "dict", "set", "frozenset")
+
+
+def match_containers(expected: DataFrame, actual: DataFrame, compare: DataFrame) -> DataFrame:
+    """How well values of any depth match: (case_id, match, tolerant) for each case of compare(case_id, compare).
+
+    Both are tables of parts, (case_id, path, kind, num, text, size): the value itself has the path "", an item of a list or
+    tuple its place, a value of a dict its key's repr, an item of a set its own repr, each after "/". Containers match if they
+    are of one kind and size and each part has a counterpart; the worst part decides. A float on either side makes "auto"
+    tolerant. A case without any part, or with parts of one side alone, is different."""
+    floats = expected.unionByName(actual).groupBy("case_id").agg(F.bool_or(F.col("kind") == "float").alias("floats"))
+    cases = compare.join(floats, "case_id", "left").select("case_id", ((F.col("compare") == "float_tolerance") | (F.col("compare") == "auto") & F.coalesce("floats", F.lit(False))).alias("tolerant"))
+    part = lambda df, name: df.select("case_id", "path", F.struct("kind", "num", "text", "size").alias(name))
+    both = cases.join(part(expected, "e").join(part(actual, "a"), ["case_id", "path"], "full"), "case_id", "left")
+    e, a = F.col("e"), F.col("a")
+    held = (e["kind"] == a["kind"]) & e["size"].eqNullSafe(a["size"])
+    one = F.when(e.isNull() | a.isNull(), "different").when(e["kind"].isin(*CONTAINERS) | a["kind"].isin(*CONTAINERS), F.when(held, "equal").otherwise("different")).otherwise(match(e, a, F.col("tolerant")))
+    rank = F.array_position(F.array(*map(F.lit, MATCHES)), one)
+    worst = both.groupBy("case_id", "tolerant").agg(F.max(rank).alias("worst"))
+    return worst.select("case_id", F.element_at(F.array(*map(F.lit, MATCHES)), F.col("worst").cast("int")).alias("match"), "tolerant")
+
+
 def printed(text: Column, stdout: Column) -> Column:
     """Whether an output shows a value: as a line of its own, or anywhere if it has three characters at least."""
     lines = F.split(F.coalesce(stdout, F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marksheet.operators import ordering as OR
@@ -52,6 +52,31 @@ def value_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", V.value_verdict(F.col("e"), F.col("a"), F.col("compare"), F.col("stdout"), F.col("slip")).alias("v")).select("id", "v.*")
 
 
+_PARTS = """p AS (SELECT l_orderkey AS case_id, '/' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS path, l_quantity AS num, l_partkey AS k FROM lineitem),
+e AS (SELECT case_id, path, CASE WHEN k % 6 > 0 THEN 'float' ELSE 'int' END AS kind, num FROM p UNION ALL SELECT case_id, '' AS path, 'list', count(*) FROM p GROUP BY ALL),
+a AS (SELECT case_id, path, CASE WHEN k % 5 > 0 AND k % 6 > 0 THEN 'float' ELSE 'int' END AS kind, num + CASE WHEN k % 4 = 1 THEN 1e-12 WHEN k % 31 = 2 THEN 1 ELSE 0 END AS num FROM p WHERE k % 41 > 0 UNION ALL SELECT case_id, '', CASE WHEN case_id % 9 = 0 THEN 'tuple' ELSE 'list' END, count(*) FROM p WHERE k % 41 > 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PARTS}, c AS (SELECT DISTINCT case_id, (['auto','exact','float_tolerance'])[case_id % 3 + 1] AS compare FROM p), f AS (SELECT case_id, bool_or(kind = 'float') AS fl FROM (SELECT * FROM e UNION ALL SELECT * FROM a) GROUP BY ALL),
+t AS (SELECT case_id, compare = 'float_tolerance' OR (compare = 'auto' AND fl) AS tolerant FROM c JOIN f USING (case_id)), j AS (SELECT case_id, path, e.kind AS ek, a.kind AS ak, e.num AS en, a.num AS an FROM e FULL JOIN a USING (case_id, path)),
+m AS (SELECT case_id, tolerant, CASE WHEN ek IS NULL OR ak IS NULL THEN 3 WHEN path = '' THEN CASE WHEN ek = ak AND en = an THEN 0 ELSE 3 END WHEN ek = ak THEN CASE WHEN en = an THEN 0 WHEN ek = 'float' AND tolerant AND {_CLOSE} THEN 1 ELSE 3 END
+  WHEN ek = 'float' THEN CASE WHEN en = an OR (tolerant AND {_CLOSE}) THEN 2 ELSE 3 END ELSE 3 END AS r FROM t JOIN j USING (case_id))
+SELECT case_id, tolerant, (['equal','close','int_for_float','different'])[max(r) + 1] AS match FROM m GROUP BY ALL""")
+def container_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lists of their quantities."""
+    order, k, none = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), F.col("k"), F.lit(None)
+    p = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("/"), F.row_number().over(order).cast("string")).alias("path"), F.col("l_quantity").cast("double").alias("num"), F.col("l_partkey").alias("k"))
+
+    def parts(rows: DataFrame, kind, num, top) -> DataFrame:
+        items = rows.select("case_id", "path", kind.alias("kind"), num.alias("num"), none.cast("string").alias("text"), none.cast("long").alias("size"))
+        return items.unionByName(rows.groupBy("case_id").agg(F.count("*").alias("size")).select("case_id", F.lit("").alias("path"), top.alias("kind"), none.cast("double").alias("num"), none.cast("string").alias("text"), "size"))
+
+    e = parts(p, F.when(k % 6 > 0, "float").otherwise("int"), F.col("num"), F.lit("list"))
+    a = parts(p.where(k % 41 > 0), F.when((k % 5 > 0) & (k % 6 > 0), "float").otherwise("int"), F.col("num") + F.when(k % 4 == 1, 1e-12).when(k % 31 == 2, 1.0).otherwise(0.0), F.when(F.col("case_id") % 9 == 0, "tuple").otherwise("list"))
+    compare = p.select("case_id").distinct().withColumn("compare", F.element_at(F.array(*map(F.lit, ("auto", "exact", "float_tolerance"))), (F.col("case_id") % 3 + 1).cast("int")))
+    return V.match_containers(e, a, compare)
+
+
 @query(f"""WITH {_CASES}, t AS (SELECT *, CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN ['float','NoneType'] WHEN 2 THEN ['bool'] WHEN 3 THEN ['int'] ELSE ['list','str'] END AS allowed FROM cases),
 v AS (SELECT id, CASE WHEN k % 11 = 0 THEN 'no_crash' WHEN allowed IS NULL THEN 'type_unchecked' WHEN list_contains(allowed, ak) THEN 'type_ok' WHEN ak = 'int' AND list_contains(allowed, 'float') THEN 'int_instead_of_float'
   WHEN list_contains(allowed, 'bool') AND ak = 'str' AND trim(aw) IN ('True','False','true','false') THEN 'str_instead_of_bool' WHEN list_has_any(allowed, ['int','float']) AND ak = 'str' AND aw = '1_0.5e3' THEN 'number_as_str'

@@ -1,5 +1,8 @@
 """Ladders of verdicts, plans and orders on hand-written cases."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +84,62 @@ def test_plans(spark):
 def test_jobs_that_go(spark):
     jobs = spark.createDataFrame([(1, i, i, i not in (0, 3)) for i in range(6)], "owner int, job_id int, created int, finished boolean")
     assert {r.job_id for r in OR.evicted_jobs(jobs, 3).collect()} == {1, 2, 4} and OR.evicted_jobs(jobs, 6).count() == 0
+
+
+def parts(case, value, path=""):
+    """A value as a table of its parts."""
+    kind = type(value).__name__
+    if isinstance(value, (list, tuple, set, frozenset, dict)):
+        inner = [(str(i), v) for i, v in enumerate(value)] if isinstance(value, (list, tuple)) else [(repr(k), v) for k, v in value.items()] if isinstance(value, dict) else [(repr(v), v) for v in value]
+        return [(case, path, kind, None, None, len(value))] + [p for k, v in inner for p in parts(case, v, f"{path}/{k}")]
+    return [(case, path, kind, float(value) if isinstance(value, (int, float)) else None, str(value), None)]
+
+
+def plain_match(e, a, tolerant):
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    near = lambda: e == a or (tolerant and math.isclose(e, a, rel_tol=1e-9, abs_tol=1e-9))
+    if number(e) and number(a):
+        if type(e) is type(a):
+            return 0 if e == a else 1 if isinstance(e, float) and near() else 3
+        return 2 if isinstance(e, float) and near() else 3
+    if type(e) is not type(a):
+        return 3
+    if isinstance(e, (list, tuple)):
+        return max((plain_match(x, y, tolerant) for x, y in zip(e, a, strict=True)), default=0) if len(e) == len(a) else 3
+    if isinstance(e, dict):
+        return max((plain_match(e[k], a[k], tolerant) for k in e), default=0) if e.keys() == a.keys() else 3
+    if isinstance(e, (set, frozenset)):
+        return 0 if e == a and sorted(map(repr, e)) == sorted(map(repr, a)) else 3
+    return 0 if e == a else 3
+
+
+def has_float(v):
+    return isinstance(v, float) or (isinstance(v, (list, tuple, set, frozenset)) and any(map(has_float, v))) or (isinstance(v, dict) and any(map(has_float, v.values())))
+
+
+def test_containers(spark):
+    rng = random.Random(11)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth else 5)
+        inner = lambda: [value(depth - 1) for _ in range(rng.randrange(3))]
+        return [rng.randrange(3), rng.randrange(3) / 2, rng.random() < 0.5, rng.choice("ab"), None, *([] if kind < 5 else [inner(), tuple(inner()), {rng.choice("xyz"): v for v in inner()}, {rng.randrange(4) for _ in range(2)}])][kind]
+
+    def slip(v):
+        if isinstance(v, (list, tuple)):
+            return type(v)(map(slip, v))
+        if isinstance(v, dict):
+            return {k: slip(x) for k, x in v.items()}
+        if isinstance(v, float) and rng.random() < 0.5:
+            return rng.choice([v + 1e-13, int(v), v])
+        return rng.choice([v, v, v, v, value(1)])
+
+    cases = []
+    for k in range(600):
+        e = value(3)
+        cases.append((k, rng.choice(["auto", "exact", "float_tolerance"]), e, slip(e)))
+    schema = "case_id int, path string, kind string, num double, text string, size int"
+    made = [spark.createDataFrame([p for c in cases for p in parts(c[0], c[side])], schema) for side in (2, 3)]
+    got = {r.case_id: r.match for r in V.match_containers(*made, spark.createDataFrame([c[:2] for c in cases] + [(9999, "auto")], "case_id int, compare string")).collect()}
+    want = {k: V.MATCHES[plain_match(e, a, c == "float_tolerance" or (c == "auto" and (has_float(e) or has_float(a))))] for k, c, e, a in cases}
+    assert got == want | {9999: "different"} and set(want.values()) == set(V.MATCHES)
