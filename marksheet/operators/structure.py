@@ -85,6 +85,11 @@ def case_collisions(tree: DataFrame) -> DataFrame:
     return tree.withColumn("n", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy("path"))).where("n > 1 and nth > 1").drop("n", "nth")
 
 
+def ordered_tree(tree: DataFrame) -> DataFrame:
+    """tree(project_id, path, ...) with place, from 1, in the order of a tree: by the parts of the path, case counting last."""
+    return tree.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(X.path_order(F.col("path")))))
+
+
 def merge_constraints(general: DataFrame, own: DataFrame) -> DataFrame:
     """(subject_id, allowed, forbidden): an own allow-list replaces the general one unless null; forbidden lists unite."""
     a, b = general.alias("a"), own.alias("b")
@@ -92,20 +97,48 @@ def merge_constraints(general: DataFrame, own: DataFrame) -> DataFrame:
     return a.join(b, "subject_id", "left").select("subject_id", "b.exercise_id", F.coalesce("b.allowed", "a.allowed").alias("allowed"), union.alias("forbidden"))
 
 
+def modules_matching(modules: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(module, pattern) where the module is the pattern or below it, by equality with the module's own beginnings."""
+    parts = F.split("module", r"\.")
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    return modules.select("module", F.explode(begins).alias("pattern")).join(patterns.select("pattern"), "pattern").select("module", "pattern")
+
+
 def call_violations(calls: DataFrame, forbidden: DataFrame) -> DataFrame:
     """Calls of forbidden names: how often, on which lines, in how many functions, and the first column."""
-    hit = calls.join(F.broadcast(forbidden.select("name")), "name", "left_semi")
+    hit = calls.join(forbidden.select("name"), "name", "left_semi")
     return hit.groupBy("project_id", "name").agg(F.count("*").alias("calls"), F.array_join(F.array_sort(F.collect_list("line")), ",").alias("lines"), F.countDistinct("function").alias("functions"), F.min_by("col", "seq").alias("first_col"))
 
 
+def _git_records(raw: DataFrame) -> DataFrame:
+    """(project_id, raw): porcelain v2 output, NUL-separated, a row for each record but the old paths of renames.
+
+    An old path follows its record and may look like one, so in a run of records that begin like renames every other is a
+    path, and after a run of odd length so is the next."""
+    order = Window.partitionBy("project_id").orderBy("pos")
+    rows = raw.select("project_id", F.posexplode(F.split("raw", "\0")).alias("pos", "rec")).where("rec <> ''").withColumn("two", F.startswith("rec", F.lit("2 ")))
+    rows = rows.withColumn("run", F.sum((~F.col("two")).cast("int")).over(order))
+    rows = rows.withColumn("nth", F.sum(F.col("two").cast("int")).over(Window.partitionBy("project_id", "run").orderBy("pos")))
+    before = F.coalesce(F.lag(F.when(F.col("two"), F.col("nth")).otherwise(0)).over(order), F.lit(0))
+    return rows.withColumn("before", before).where(F.when(F.col("two"), F.col("nth") % 2 == 1).otherwise(F.col("before") % 2 == 0)).select("project_id", "pos", "rec")
+
+
 def parse_git_status(raw: DataFrame) -> DataFrame:
-    """(project_id, raw): porcelain v2 records, NUL-separated, to (project_id, path, state). A rename's old path is skipped."""
-    parts = F.split("raw", "\0")
-    rows = raw.select("project_id", F.posexplode(parts).alias("pos", "rec"))
-    w = Window.partitionBy("project_id").orderBy("pos")
-    rows = rows.withColumn("after_rename", F.coalesce(F.lag(F.startswith("rec", F.lit("2 "))).over(w), F.lit(False))).where("rec <> '' and not after_rename")
+    """(project_id, raw) of porcelain v2 to (project_id, path, state): staged, modified, untracked or ignored; an unmerged path is
+    staged and modified; records of other kinds give none."""
     kind = F.substring("rec", 1, 1)
-    path = F.when(kind == "1", F.regexp_extract("rec", r"^(?:\S+ ){8}(.*)$", 1)).when(kind == "2", F.regexp_extract("rec", r"^(?:\S+ ){9}(.*)$", 1)).when(kind.isin("?", "!"), F.substring("rec", 3, 100000))
-    xy = F.substring("rec", 3, 2)
-    states = F.when(kind == "?", F.array(F.lit("untracked"))).when(kind == "!", F.array(F.lit("ignored"))).otherwise(F.array_compact(F.array(F.when(F.substring(xy, 1, 1) != ".", F.lit("staged")), F.when(F.substring(xy, 2, 1) != ".", F.lit("modified")))))
-    return rows.select("project_id", path.alias("path"), F.explode(states).alias("state")).where("path is not null")
+    last = lambda fields: F.regexp_extract("rec", rf"(?s)\A(?:[^ ]* ){{{fields}}}(.*)\z", 1)
+    path = F.when(kind == "1", last(8)).when(kind == "2", last(9)).when(kind == "u", last(10)).when(kind.isin("?", "!"), F.substring("rec", 3, 100_000))
+    xy = F.split("rec", " ").getItem(1)
+    changed = F.array_compact(F.array(F.when(F.substring(xy, 1, 1) != ".", F.lit("staged")), F.when(F.substring(xy, 2, 1) != ".", F.lit("modified"))))
+    states = F.when(kind == "?", F.array(F.lit("untracked"))).when(kind == "!", F.array(F.lit("ignored"))).when(kind == "u", F.array(F.lit("modified"), F.lit("staged"))).otherwise(F.when(F.length(xy) == 2, changed))
+    return _git_records(raw).select("project_id", path.alias("path"), F.explode(states).alias("state")).where("path <> ''")
+
+
+def git_heads(raw: DataFrame) -> DataFrame:
+    """(project_id, oid, head) of porcelain v2: the commit and branch; null before the first commit, and off any branch. Of headers
+    that repeat, the last counts."""
+    rows = _git_records(raw).where(F.startswith("rec", F.lit("# ")))
+    value = lambda name: F.max_by(F.regexp_extract("rec", r"(?s)\A# \S+ (.*)\z", 1), F.when(F.startswith("rec", F.lit(f"# branch.{name} ")), F.col("pos")))
+    got = raw.select("project_id").distinct().join(rows.groupBy("project_id").agg(value("oid").alias("oid"), value("head").alias("head")), "project_id", "left")
+    return got.select("project_id", F.when(F.col("oid") != "(initial)", F.col("oid")).alias("oid"), F.when(F.col("head") != "(detached)", F.col("head")).alias("head"))

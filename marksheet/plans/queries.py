@@ -367,7 +367,7 @@ def module_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = A.table(spark, sf_dir, "nation").select(F.concat(F.lit("mod."), F.lower("n_name")).alias("module"))
     n = n.unionByName(n.select(F.concat("module", F.lit(".x")).alias("module")))
     p = spark.createDataFrame([("mod.nation_0",), ("mod.i",)], "pattern string")
-    return n.join(F.broadcast(p), X.module_matches(F.col("module"), F.col("pattern"))).select("module", "pattern")
+    return ST.modules_matching(n, p)
 
 
 # ---------------------------------------------------------------- text and values
@@ -432,4 +432,4 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ",")).withColumn("functions", F.array_join("functions", ","))
 
 
-from . import subject_queries, verdict_queries  # noqa: E402, F401  (they add their queries to the same registry)
+from . import form_queries, subject_queries, verdict_queries  # noqa: E402, F401  (they add their queries to the same registry)

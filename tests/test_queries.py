@@ -133,6 +133,14 @@ def test_git_status(spark):
     assert got == [("junk.txt", "untracked"), ("new.py", "staged"), ("src/a b.py", "modified"), ("x.pyc", "ignored")]
 
 
+def test_git_records_like_renames(spark):
+    raw = "# branch.oid (initial)\0# branch.head main\0002 R. N... 1 1 1 a b R100 new\0002 R. like a rename\0002 .M N... 1 1 1 a b R90 x\nz\0y\0001 M. N... 1 1 1 a b c.py\0u UU N... 1 1 1 1 a b c both.py\0"
+    df = spark.createDataFrame([(1, raw), (2, ""), (3, "# branch.oid abc\0# branch.head (detached)\0")], "project_id int, raw string")
+    got = sorted((r.project_id, r.path, r.state) for r in ST.parse_git_status(df).collect())
+    assert got == [(1, "both.py", "modified"), (1, "both.py", "staged"), (1, "c.py", "staged"), (1, "new", "staged"), (1, "x\nz", "modified")]
+    assert sorted((r.project_id, r.oid, r.head) for r in ST.git_heads(df).collect()) == [(1, None, "main"), (2, None, None), (3, "abc", None)]
+
+
 @pytest.mark.parametrize(("ka", "a", "kb", "b", "want"), [("int", 1.0, "int", 1.0, "equal"), ("bool", 1.0, "int", 1.0, "different"), ("float", 1.0, "int", 1.0, "int_for_float"), ("float", 1.0, "float", 1.0 + 1e-10, "close"), ("float", float("nan"), "float", float("nan"), "different")])
 def test_typed_values(spark, ka, a, kb, b, want):
     assert spark.range(1).select(X.values_match(F.lit(ka), F.lit(a), F.lit(kb), F.lit(b))).first()[0] == want
