@@ -93,11 +93,6 @@ def unsafe_path(p: Column) -> Column:
     return p.rlike(r"^/") | p.rlike(r"^[A-Za-z]:") | p.rlike(r"(^|/)\.\.(/|$)") | p.rlike(r"(?i)(^|/)(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^/]*)?(/|$)")
 
 
-def module_matches(module: Column, pattern: Column) -> Column:
-    """Equal, or below it."""
-    return (module == pattern) | F.startswith(module, F.concat(pattern, F.lit(".")))
-
-
 def redact_credentials(url: Column) -> Column:
     return F.regexp_replace(url, r"(?<=://)[^/@\s]+@", "***@")
 

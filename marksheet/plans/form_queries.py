@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marksheet.functions import scores as S
 from marksheet.functions import text as X
 from marksheet.operators import history as H
+from marksheet.operators import patches as P
 from marksheet.operators import structure as ST
 
 from . import adapters as A
@@ -88,3 +89,31 @@ def _git_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.struct(n.alias("n"), rec.alias("rec")).alias("r"))
     return rows.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["rec"]), "\0").alias("raw"))
+
+
+_PATCHES = r"""src AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS l, text FROM documents WHERE text <> ''), f AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l, l[-1] <> '' AS open FROM src),
+lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text, len(l) AS n, open FROM f), ch AS (SELECT doc_id, line, 'new ' || line AS new, greatest(1, line - 1) AS a, least(n, line + 1) AS b FROM lines WHERE (line * 7 + doc_id) % 5 = 0),
+g AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, true)::INT AS s FROM ch), h AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY line) AS hunk FROM g),
+hunks AS (SELECT doc_id, hunk, min(a) AS a, max(b) AS b FROM h GROUP BY ALL), body AS (SELECT k.doc_id, k.hunk, k.a, k.b, l.line, CASE WHEN c.new IS NULL THEN ' ' || l.text || eof ELSE '-' || l.text || eof || chr(10) || '+' || c.new || eof END AS t
+  FROM hunks k JOIN (SELECT *, CASE WHEN open AND line = n THEN chr(10) || '\ No newline at end of file' ELSE '' END AS eof FROM lines) l ON l.doc_id = k.doc_id AND l.line BETWEEN k.a AND k.b LEFT JOIN ch c ON c.doc_id = l.doc_id AND c.line = l.line),
+p AS (SELECT doc_id, hunk, '@@ -' || a || CASE WHEN b > a THEN ',' || (b - a + 1) ELSE '' END || ' +' || a || CASE WHEN b > a THEN ',' || (b - a + 1) ELSE '' END || ' @@' || chr(10) || string_agg(t, chr(10) ORDER BY line) AS t FROM body GROUP BY doc_id, hunk, a, b),
+patches AS (SELECT doc_id, '--- a/d' || doc_id || chr(10) || '+++ b/d' || doc_id || chr(10) || string_agg(t, chr(10) ORDER BY hunk) || chr(10) AS patch FROM p GROUP BY doc_id)"""
+
+
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("source"))
+    lines = P.file_lines(files).where((F.col("line") * 7 + F.col("file_id")) % 5 == 0)
+    return P.write_patches(files, lines.select("file_id", "line", F.concat(F.lit("new "), F.col("line").cast("string")).alias("new")))
+
+
+@query(f"WITH {_PATCHES} SELECT doc_id, patch FROM patches")
+def written_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patches(spark, sf_dir).select(F.col("file_id").alias("doc_id"), "patch")
+
+
+@query(f"""WITH {_PATCHES} SELECT c.doc_id, count(*) FILTER (WHERE TRUE) AS lines, count(c.new) AS added, min(CASE WHEN c.new IS NOT NULL THEN b.line END) AS first_changed, max(b.line) AS last_line FROM body b JOIN (SELECT b.doc_id, b.line, c.new FROM body b LEFT JOIN ch c USING (doc_id, line)) c ON c.doc_id = b.doc_id AND c.line = b.line GROUP BY c.doc_id""")
+def read_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each patch read back: lines of the old file that it shows, lines added, the first that changed, the last shown."""
+    rows = P.parse_patches(_patches(spark, sf_dir).select(F.col("file_id").alias("patch_id"), "patch"))
+    kind = F.col("kind")
+    return rows.groupBy(F.col("patch_id").alias("doc_id")).agg(F.count("old_no").alias("lines"), F.count_if(kind == "add").alias("added"), F.min(F.when(kind == "del", F.col("old_no"))).alias("first_changed"), F.max("old_no").alias("last_line"))
