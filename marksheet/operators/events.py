@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marksheet.functions.text import lines_kept
+
 
 def output_offsets(events: DataFrame) -> DataFrame:
     """Where in a job's output the text of each output event begins and ends, in code points."""
@@ -13,6 +15,42 @@ def output_offsets(events: DataFrame) -> DataFrame:
     return events.where("kind = 'output'").withColumn("end_off", end).withColumn("start_off", F.col("end_off") - F.length("text"))
 
 
+def consistent_offsets(events: DataFrame, outputs: DataFrame) -> DataFrame:
+    """output_offsets of the events that outputs(job_id, stdout) bears out, up to the first that it doesn't (a stream may have been
+    cut); events without text are left out. A job without output has none."""
+    rows = output_offsets(events.where("length(text) > 0")).join(outputs.select("job_id", "stdout"), "job_id")
+    so_far = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.coalesce(F.substr("stdout", (F.col("start_off") + 1).cast("int"), F.length("text")) == F.col("text"), F.lit(False))
+    return rows.withColumn("same", same).withColumn("fine", F.bool_and("same").over(so_far)).where("fine").drop("same", "fine", "stdout")
+
+
+def first_edit(segments: Column, actual: Column) -> Column:
+    """The character of an actual line that its first difference is put down to, from 0, by segments array<struct<op, expected,
+    actual>>: what is missing there belongs to who wrote the character before. Without a difference, the line's length."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("hit"))
+
+    def step(s: Column, seg: Column) -> Column:
+        here = F.when((seg["op"] == "delete") & (s["at"] > 0), s["at"] - 1).otherwise(s["at"])
+        hit = F.when(s["hit"].isNotNull(), s["hit"]).when(seg["op"] != "equal", here)
+        return F.struct((s["at"] + F.length(F.coalesce(seg["actual"], F.lit("")))).alias("at"), hit.alias("hit"))
+
+    return F.coalesce(F.aggregate(F.coalesce(segments, F.expr("cast(array() as array<struct<op: string, expected: string, actual: string>>)")), start, step)["hit"], F.length(F.coalesce(actual, F.lit(""))))
+
+
+def line_sources(lines: DataFrame, events: DataFrame, outputs: DataFrame) -> DataFrame:
+    """lines(job_id, op, actual_lineno, actual, segments) of a diff with event_seq, the event that wrote the first differing
+    character of a changed line, else the line's beginning; null where the stream bears out none. Line numbers count from 1."""
+    parts = outputs.select("job_id", F.posexplode(lines_kept(F.col("stdout"))).alias("n", "part"))
+    begins = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("job_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("job_id", (F.col("n") + 1).alias("actual_lineno"), begins.alias("start"))
+    rows = lines.join(starts, ["job_id", "actual_lineno"], "left").withColumn("edit", F.col("start") + F.when(F.col("op") == "changed", first_edit(F.col("segments"), F.col("actual"))).otherwise(0))
+    probes = rows.where("start is not null").select("job_id", F.explode(F.array("start", "edit")).alias("off")).distinct()
+    found = event_at(consistent_offsets(events, outputs), probes)
+    at = lambda off, name: found.select("job_id", F.col("off").alias(off), F.col("event_seq").alias(name))
+    rows = rows.join(at("edit", "by_edit"), ["job_id", "edit"], "left").join(at("start", "by_start"), ["job_id", "start"], "left")
+    return rows.select(*lines.columns, F.coalesce("by_edit", "by_start").alias("event_seq"))
+
+
 def event_at(offsets: DataFrame, probes: DataFrame) -> DataFrame:
     """probes(job_id, off): the event that wrote that character. An as-of join by one sort: events and probes of a job in
     the order of their offsets, and the last event before each probe."""

@@ -1,4 +1,4 @@
-"""Queries of text forms, orders of paths, constraints, time limits, changes and git states, with their SQL."""
+"""Queries of text forms, sources of lines, patches, orders of paths, constraints, time limits, changes and git states, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marksheet.functions import scores as S
 from marksheet.functions import text as X
+from marksheet.operators import events as EV
 from marksheet.operators import history as H
 from marksheet.operators import patches as P
 from marksheet.operators import structure as ST
@@ -117,3 +118,39 @@ def read_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.parse_patches(_patches(spark, sf_dir).select(F.col("file_id").alias("patch_id"), "patch"))
     kind = F.col("kind")
     return rows.groupBy(F.col("patch_id").alias("doc_id")).agg(F.count("old_no").alias("lines"), F.count_if(kind == "add").alias("added"), F.min(F.when(kind == "del", F.col("old_no"))).alias("first_changed"), F.max("old_no").alias("last_line"))
+
+
+_STREAMS = """io AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'input' ELSE 'output' END AS kind, props || CASE WHEN event_id % 3 = 0 THEN chr(10) ELSE '' END AS text FROM events),
+o AS (SELECT *, sum(length(text)) OVER (PARTITION BY job_id ORDER BY seq) AS e, sum(length(text)) OVER (PARTITION BY job_id ORDER BY seq) - length(text) AS b FROM io WHERE kind = 'output'),
+outs AS (SELECT job_id, string_agg(CASE WHEN job_id % 4 = 1 AND seq % 11 = 5 THEN upper(text) ELSE text END, '' ORDER BY seq) AS stdout FROM o GROUP BY job_id),
+fine AS (SELECT job_id, seq, b, e FROM (SELECT o.*, bool_and(stdout[b + 1:e] = text) OVER (PARTITION BY job_id ORDER BY seq) AS ok FROM o JOIN outs USING (job_id)) WHERE ok)"""
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """events as what jobs print; of some jobs the output differs from what the events say."""
+    n = F.col("event_id")
+    io = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), n.alias("seq"), F.when(F.col("event_type") == "purchase", "input").otherwise("output").alias("kind"), F.concat("props", F.when(n % 3 == 0, "\n").otherwise("")).alias("text"))
+    told = F.when((F.col("job_id") % 4 == 1) & (F.col("seq") % 11 == 5), F.upper("text")).otherwise(F.col("text"))
+    outs = io.where("kind = 'output'").groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", told.alias("text")))), lambda x: x["text"]), "").alias("stdout"))
+    return io, outs
+
+
+@query(f"WITH {_STREAMS} SELECT job_id, seq, b::BIGINT AS start_off, e::BIGINT AS end_off FROM fine")
+def consistent_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.consistent_offsets(*_streams(spark, sf_dir)).select("job_id", "seq", "start_off", "end_off")
+
+
+@query(f"""WITH {_STREAMS}, l AS (SELECT job_id, unnest(range(1, len(x) + 1)) AS n, unnest(x) AS part FROM (SELECT job_id, regexp_extract_all(stdout, '[^\n]*\n|[^\n]+$') AS x FROM outs)),
+s AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY job_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+p AS (SELECT *, start + CASE WHEN n % 2 = 0 THEN CASE WHEN n % 4 = 0 AND least(n, length(part)) > 0 THEN least(n, length(part)) - 1 ELSE least(n, length(part)) END ELSE 0 END AS edit FROM s)
+SELECT job_id, n AS actual_lineno, coalesce((SELECT max(seq) FROM fine f WHERE f.job_id = p.job_id AND f.b <= p.edit AND p.edit < f.e), (SELECT max(seq) FROM fine f WHERE f.job_id = p.job_id AND f.b <= p.start AND p.start < f.e)) AS event_seq FROM p""")
+def line_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second line differs from some character on, every fourth lacks what was expected there."""
+    io, outs = _streams(spark, sf_dir)
+    lines = outs.select("job_id", F.posexplode(X.lines_kept(F.col("stdout"))).alias("k", "actual")).withColumn("actual_lineno", F.col("k") + 1)
+    n, cut = F.col("actual_lineno"), F.least("actual_lineno", F.length("actual"))
+    seg = lambda op, expected, actual: F.struct(F.lit(op).alias("op"), expected.alias("expected"), actual.alias("actual"))
+    head, tail = F.substr("actual", F.lit(1), cut), F.substr("actual", cut + 1)
+    segments = F.when(n % 4 == 0, F.array(seg("equal", head, head), seg("delete", F.lit("x"), F.lit("")), seg("equal", tail, tail))).otherwise(F.array(seg("equal", head, head), seg("replace", F.lit("x"), tail)))
+    diff = lines.select("job_id", "actual_lineno", "actual", F.when(n % 2 == 0, "changed").otherwise("equal").alias("op"), segments.alias("segments"))
+    return EV.line_sources(diff, io, outs).select("job_id", "actual_lineno", "event_seq")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marksheet.functions import scores as S
 from marksheet.functions import text as X
+from marksheet.operators import events as EV
 from marksheet.operators import history as H
 from marksheet.operators import scoring as SC
 from marksheet.operators import structure as ST
@@ -141,6 +142,18 @@ def test_git_records_like_renames(spark):
     assert sorted((r.project_id, r.oid, r.head) for r in ST.git_heads(df).collect()) == [(1, None, "main"), (2, None, None), (3, "abc", None)]
 
 
+def test_sources_of_lines_stop_where_the_stream_does(spark):
+    events = spark.createDataFrame([(1, 1, "output", "Name:"), (1, 2, "input", "Bo"), (1, 3, "output", ""), (1, 4, "output", "Hi Bo\nBye"), (1, 5, "output", "\nend"), (1, 6, "output", "cut off"), (1, 7, "output", "late")], "job_id int, seq long, kind string, text string")
+    outputs = spark.createDataFrame([(1, "Name:Hi Bo\nBye\nend...late")], "job_id int, stdout string")
+    got = {r.seq: (r.start_off, r.end_off) for r in EV.consistent_offsets(events, outputs).collect()}
+    assert got == {1: (0, 5), 4: (5, 14), 5: (14, 18)}
+    gap, swap = [("equal", "Name:", "Name:"), ("delete", " ", ""), ("equal", "Hi Bo", "Hi Bo")], [("equal", "Name:", "Name:"), ("replace", "Ho", "Hi Bo")]
+    rows = [(1, "changed", 1, "Name:Hi Bo", gap), (1, "changed", 1, "Name:Hi Bo", swap), (1, "equal", 2, "Bye", None), (1, "changed", 3, "end...late", [("equal", "end", "end"), ("insert", "", "...late")]), (1, "missing", None, None, None), (1, "changed", 9, "x", None)]
+    lines = spark.createDataFrame(rows, "job_id int, op string, actual_lineno int, actual string, segments array<struct<op: string, expected: string, actual: string>>")
+    got = [(r.actual_lineno, r.segments and len(r.segments), r.event_seq) for r in EV.line_sources(lines, events, outputs).collect()]
+    assert sorted(got, key=str) == sorted([(1, 3, 1), (1, 2, 4), (2, None, 4), (3, 2, 5), (None, None, None), (9, None, None)], key=str)
+
+
 @pytest.mark.parametrize(("ka", "a", "kb", "b", "want"), [("int", 1.0, "int", 1.0, "equal"), ("bool", 1.0, "int", 1.0, "different"), ("float", 1.0, "int", 1.0, "int_for_float"), ("float", 1.0, "float", 1.0 + 1e-10, "close"), ("float", float("nan"), "float", float("nan"), "different")])
 def test_typed_values(spark, ka, a, kb, b, want):
     assert spark.range(1).select(X.values_match(F.lit(ka), F.lit(a), F.lit(kb), F.lit(b))).first()[0] == want
