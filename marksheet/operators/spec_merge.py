@@ -7,9 +7,10 @@ arrays, or null; constraints of any type, null where there are none;
 functions(spec_id, exercise_pos, pos, name, rules array<string>, reference): names differ within an exercise;
 tests(spec_id, exercise_pos, function, pos, test_id, call): function is null for tests of the script; call is compared as a whole.
 
-pos is unique in its spec or exercise. Null lists count as empty, a null file_path matches no other. A spec without counterpart stays
-as it is, or is added whole. Which exercise takes which depends on what earlier ones took, so exercises of one file of one spec are
-folded in order inside an aggregate over a short array; all else is joins.
+pos is unique in its spec or exercise. Null lists count as empty, a null file_path matches no other. A spec that only base has stays
+as it is; one that only the other has goes through the same rules, so its later exercises may join earlier ones. Which exercise takes
+which depends on what earlier ones took, so exercises of one file of one spec are folded in order inside an aggregate over a short
+array; all else is joins.
 """
 
 from __future__ import annotations

@@ -123,3 +123,13 @@ def test_files_and_globals(spark):
     a = spark.createDataFrame([(1, [], None, ["x", "y"], None, [])], schema)
     b = spark.createDataFrame([(1, ["len"], ["os"], ["z", "x"], ["re"], None), (2, None, None, ["q"], None, None)], schema)
     assert sorted(tuple(r) for r in M.merged_globals(a, b).collect()) == [(1, [], ["os"], ["x", "y", "z"], ["re"], []), (2, None, None, ["q"], [], [])]
+
+
+def test_one_side_empty(spark):
+    rng = random.Random(4)
+    specs = {s: made(rng, True) for s in range(20)}
+    some, none = as_tables(spark, specs), as_tables(spark, {})
+    assert [t.count() for t in M.merge_specs(some, none)] == [t.count() for t in some]
+    assert [t.count() for t in M.merge_specs(none, none)] == [0, 0, 0]
+    got = {(r.spec_id, r.pos) for r in M.merge_specs(none, some).exercises.collect()}
+    assert got == {(s, e["pos"]) for s in specs for e in plain_merge([], specs[s])} and got
