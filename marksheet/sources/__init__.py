@@ -1 +1 @@
-"""Reading subjects and project snapshots."""
+"""Sources: folders of projects."""
