@@ -432,4 +432,4 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ",")).withColumn("functions", F.array_join("functions", ","))
 
 
-from . import form_queries, rule_queries, source_queries, spec_queries, subject_queries, verdict_queries  # noqa: E402, F401  (they add their queries to the same registry)
+from . import evaluation_queries, form_queries, rule_queries, source_queries, spec_queries, subject_queries, verdict_queries  # noqa: E402, F401  (they add their queries to the same registry)
