@@ -11,7 +11,7 @@ comparisons(function_id, rule_pos, pos, left_param, left_value, op, right_param,
 is neither a parameter nor a constant has both null and can't be evaluated.
 
 A function's parameters, rules and comparisons are collected into one short array, its calls never are: they meet the arrays by a join
-on the function and are evaluated inside expressions.
+on the function and are evaluated inside expressions. All joins are by shuffle, as any of the tables may be too large for the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marksheet.sources.tables import by_shuffle, once
+
 from .spec_merge import free_numbers
 
 VALUE = "struct<kind:string,num:double,text:string>"
@@ -46,11 +48,11 @@ def bound_calls(calls: DataFrame, args: DataFrame, params: DataFrame) -> DataFra
     struct<pos, name, value> of each parameter in order."""
     given = args.select("function_id", F.col("call_pos").alias("pos"), "name", "value")
     known = params.select("function_id", "name")
-    odd = given.join(known, ["function_id", "name"], "left_anti").select("function_id", "pos").distinct()
-    slots = calls.join(params.select("function_id", F.col("pos").alias("param_pos"), "name", "default"), "function_id", "left").join(given, ["function_id", "pos", "name"], "left")
+    odd = given.join(by_shuffle(known), ["function_id", "name"], "left_anti").select("function_id", "pos").distinct()
+    slots = calls.join(by_shuffle(params.select("function_id", F.col("pos").alias("param_pos"), "name", "default")), "function_id", "left").join(by_shuffle(given), ["function_id", "pos", "name"], "left")
     slot = F.struct(F.col("param_pos").alias("pos"), "name", F.coalesce("value", "default").alias("value"))
     whole = slots.groupBy("function_id", "pos", "provenance").agg(F.sort_array(F.collect_list(F.when(F.col("name").isNotNull(), slot))).alias("assignment"))
-    return whole.where(F.forall("assignment", lambda a: a["value"].isNotNull())).join(odd, ["function_id", "pos"], "left_anti")
+    return whole.where(F.forall("assignment", lambda a: a["value"].isNotNull())).join(by_shuffle(odd), ["function_id", "pos"], "left_anti")
 
 
 def base_values(params: DataFrame, bound: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def base_values(params: DataFrame, bound: DataFrame) -> DataFrame:
     # Arguments of a type.
     of_type = F.when(F.coalesce("annotation", F.lit("int")) == "int", value("int", F.lit(1))).when(F.col("annotation") == "float", value("float", F.lit(1))).when(F.col("annotation") == "str", value("str", None, F.lit("a"))).when(F.col("annotation") == "bool", value("bool", F.lit(1)))
     own = F.get(F.filter("first", lambda a: a["name"] == F.col("name")), F.lit(0))["value"]
-    rows = params.join(first, "function_id", "left").withColumn("value", F.coalesce(own, F.col("default"), of_type))
+    rows = params.join(by_shuffle(first), "function_id", "left").withColumn("value", F.coalesce(own, F.col("default"), of_type))
     kind = F.coalesce("annotation", F.when(F.col("value.kind").isin("int", "float", "str", "bool"), F.col("value.kind")))
     return rows.groupBy("function_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "value", kind.alias("kind")))).alias("base"))
 
@@ -95,13 +97,13 @@ def _beside(pivot: Column, kind: Column) -> Column:
 def boundary_cases(comparisons: DataFrame, base: DataFrame) -> DataFrame:
     """(function_id, rule_pos, pos, point, param, assignment): calls around every comparison of a parameter with a constant or another
     parameter, the other arguments as in base. Of equal calls of a function the first in order of rule, comparison and point."""
-    c = comparisons.where(F.col("op").isin(OPS)).join(base, "function_id")
+    c = comparisons.where(F.col("op").isin(OPS)).join(by_shuffle(base), "function_id")
     c = c.withColumn("left", _of(F.col("base"), F.col("left_param"))).withColumn("right", _of(F.col("base"), F.col("right_param")))
     l, r = F.col("left"), F.col("right")
     points = F.when(l.isNotNull() & r.isNotNull(), F.when(l["name"] != r["name"], _beside(r["value"], l["kind"]))).when(l.isNotNull(), _around(F.col("right_value"), l["kind"], F.col("op"))).when(r.isNotNull(), _around(F.col("left_value"), r["kind"], F.col("op")))
     rows = c.withColumn("param", F.coalesce(l["name"], r["name"])).select("function_id", "rule_pos", "pos", "param", "base", F.posexplode(points).alias("point", "at"))
     assignment = F.transform("base", lambda b: F.struct(b["pos"].alias("pos"), b["name"].alias("name"), F.when(b["name"] == F.col("param"), F.col("at")).otherwise(b["value"]).alias("value")))
-    rows = rows.withColumn("assignment", assignment).where(F.forall("assignment", lambda a: a["value"].isNotNull()))
+    rows = once(rows, assignment=assignment).where(F.forall("assignment", lambda a: a["value"].isNotNull()))
     first = rows.groupBy("function_id", call_key(F.col("assignment")).alias("key")).agg(F.min(F.struct("rule_pos", "pos", "point", "param", "assignment")).alias("c"))
     return first.select("function_id", "c.*")
 
@@ -121,20 +123,20 @@ def with_outcome(calls: DataFrame, functions: DataFrame, rules: DataFrame, compa
     does a comparison before a later one that fails."""
     c = comparisons.groupBy("function_id", "rule_pos").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("left_param", "left_value", "op", "right_param", "right_value").alias("c")))).alias("comparisons"))
     rule = F.struct("rule_pos", F.struct("provenance", F.when(F.col("raises") != "", F.col("raises")).alias("raises"), "returns", "returns_param", "comparisons").alias("rule"))
-    programs = rules.join(c, ["function_id", "rule_pos"], "left").groupBy("function_id").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
-    known = functions.select("function_id", F.col("reference").alias("of_reference")).join(programs, "function_id", "left")
-    every = calls.join(known, "function_id")
+    programs = rules.join(by_shuffle(c), ["function_id", "rule_pos"], "left").groupBy("function_id").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
+    known = functions.select("function_id", F.col("reference").alias("of_reference")).join(by_shuffle(programs), "function_id", "left")
+    every = calls.join(by_shuffle(known), "function_id")
     assignment = F.col("assignment")
     status = lambda r: F.coalesce(F.get(F.filter(F.transform(r["rule"]["comparisons"], lambda x: _truth(x["c"], assignment)), lambda s: s != "true"), F.lit(0)), F.lit("true"))
     met = F.get(F.filter(F.transform("rules", lambda r: F.struct(status(r).alias("status"), r["rule_pos"].alias("rule_pos"), r["rule"].alias("rule"))), lambda r: r["status"] != "false"), F.lit(0))
-    every = every.withColumn("met", met)
+    every = once(every, met=met)
     r = F.col("met.rule")
     returned = F.when(r["returns_param"].isNotNull(), _of(assignment, r["returns_param"])["value"]).otherwise(r["returns"])
     gives = F.when(F.col("met").isNull(), F.col("of_reference")).when((F.col("met.status") == "true") & r["raises"].isNull(), returned)
     kind = F.when(F.col("met.status") == "error", "error").when(r["raises"].isNotNull(), "raises").when(r["returns_param"].isNotNull() & gives.isNull(), "error").when(gives.isNull(), "unknown").otherwise("value")
     failed = kind == "error"
     outcome = F.struct(kind.alias("kind"), gives.alias("value"), F.when(~failed, r["raises"]).alias("exception"), F.when(~failed, F.col("met.rule_pos")).alias("rule_pos"), F.when(~failed, r["provenance"]).alias("provenance"))
-    return every.withColumn("outcome", outcome).drop("met", "rules", "of_reference")
+    return once(every, outcome=outcome).drop("met", "rules", "of_reference")
 
 
 def trusted(functions: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,12 +159,12 @@ def derived_tests(functions: DataFrame, params: DataFrame, calls: DataFrame, arg
     are free beside used(spec_id, test_id)."""
     able, sure = trusted(functions.where("must_return"), rules)
     bound = bound_calls(calls, args, params)
-    cases = boundary_cases(comparisons.join(sure.select("function_id", "rule_pos", F.col("provenance").alias("said_by")), ["function_id", "rule_pos"]).drop("said_by"), base_values(params, bound))
+    cases = boundary_cases(comparisons.join(by_shuffle(sure.select("function_id", "rule_pos", F.col("provenance").alias("said_by"))), ["function_id", "rule_pos"]).drop("said_by"), base_values(params, bound))
     taken = bound.select("function_id", call_key(F.col("assignment")).alias("key")).distinct()
-    fresh = cases.withColumn("key", call_key(F.col("assignment"))).join(taken, ["function_id", "key"], "left_anti").drop("key")
+    fresh = cases.withColumn("key", call_key(F.col("assignment"))).join(by_shuffle(taken), ["function_id", "key"], "left_anti").drop("key")
     told = with_outcome(fresh, able, sure, comparisons).where("outcome.kind IN ('value', 'raises')")
-    told = told.join(sure.select("function_id", "rule_pos", F.col("provenance").alias("said_by")), ["function_id", "rule_pos"])
+    told = told.join(by_shuffle(sure.select("function_id", "rule_pos", F.col("provenance").alias("said_by"))), ["function_id", "rule_pos"])
     extracted = (F.col("said_by") == "ai_extracted") | F.coalesce(F.col("outcome.provenance") == "ai_extracted", F.lit(False))
-    told = told.join(functions.select("function_id", "spec_id", "name"), "function_id").withColumn("prefix", F.concat("name", F.lit("#derived")))
+    told = told.join(by_shuffle(functions.select("function_id", "spec_id", "name")), "function_id").withColumn("prefix", F.concat("name", F.lit("#derived")))
     wanted = told.withColumn("confidence", F.when(extracted, AI_CONFIDENCE).otherwise(CONFIDENCE)).withColumn("in_rule", F.col("pos")).withColumn("pos", F.struct("function_id", "rule_pos", "in_rule", "point"))
     return free_numbers(wanted, used).select("function_id", "test_id", "rule_pos", F.col("in_rule").alias("pos"), "point", "assignment", F.col("outcome.value").alias("expected"), F.col("outcome.exception").alias("exception"), "confidence")

@@ -5,7 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df for one side of a join that deals rows by their keys. Sizes of what is exploded or put into structs are guessed far too small, and
+    Spark would gather such a side in the driver to broadcast it."""
+    return df.hint("merge")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, each worked out once a row: plain ones are copied into every expression and filter that names them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
