@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marksheet.sources.tables import by_shuffle, once
+
 #: Characters in common at least, and the calls whose arguments come first.
 MIN_COMMON, IO_CALLS = 4, ("print", "input")
 _SPACE_ENDS = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
@@ -64,9 +66,8 @@ def scored(pairs: DataFrame) -> DataFrame:
         .when(F.contains(value, text), _told(3, call, -F.length(value), line))
         .when((F.length(_strip(fixed)) >= MIN_COMMON) & F.forall(parts, lambda p: F.contains(text, p)), _told(2, call, F.length(fixed), line))
     )
-    rows = pairs.withColumn("high", high)
-    rows = rows.withColumn("common", F.when(F.col("high").isNull(), longest_common(F.lower(text), F.lower(fixed))))
-    return rows.withColumn("score", F.coalesce("high", F.when(F.col("common") >= MIN_COMMON, _told(1, call, F.col("common"), line)))).drop("high", "common")
+    rows = once(once(pairs, high=high), common=F.when(F.col("high").isNull(), longest_common(F.lower(text), F.lower(fixed))))
+    return once(rows, score=F.coalesce("high", F.when(F.col("common") >= MIN_COMMON, _told(1, call, F.col("common"), line)))).drop("high", "common")
 
 
 def _runs(s: Column) -> Column:
@@ -85,11 +86,11 @@ def locate_texts(texts: DataFrame, literals: DataFrame) -> DataFrame:
     fixed = F.lower(F.replace("value", F.lit("{}"), F.lit("")))
     a = one.select("module_id", "text", F.explode(_runs(F.lower("text"))).alias("run"))
     b = known.select("module_id", "pos", F.explode(_runs(fixed)).alias("run"))
-    sharing = a.join(b, ["module_id", "run"]).select("module_id", "text", "pos")
+    sharing = a.join(by_shuffle(b), ["module_id", "run"]).select("module_id", "text", "pos")
     # Where either side is short, its own few rows are what the join begins with.
     brief, open_ = F.length("text") < MIN_COMMON, F.contains("value", F.lit("{}")) | (F.length(fixed) < MIN_COMMON)
-    loose = one.where(brief).join(known.select("module_id", "pos"), "module_id").unionByName(one.where(~brief).join(known.where(open_).select("module_id", "pos"), "module_id"))
-    pairs = sharing.unionByName(loose.select("module_id", "text", "pos")).distinct().join(known, ["module_id", "pos"])
+    loose = one.where(brief).join(by_shuffle(known.select("module_id", "pos")), "module_id").unionByName(one.where(~brief).join(by_shuffle(known.where(open_).select("module_id", "pos")), "module_id"))
+    pairs = sharing.unionByName(loose.select("module_id", "text", "pos")).distinct().join(by_shuffle(known), ["module_id", "pos"])
     best = scored(pairs).where("score is not null").groupBy("module_id", "text").agg(F.max(F.struct("score", (-F.col("pos")).alias("back"))).alias("best"))
-    named = asked.join(best, ["module_id", "text"])
+    named = asked.join(by_shuffle(best), ["module_id", "text"])
     return named.select("text_id", "module_id", (-F.col("best.back")).alias("pos"), "best.score.tier", "best.score.io", "best.score.n", (-F.col("best.score.line")).alias("line"))
