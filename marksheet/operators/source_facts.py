@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: tasks for each core.
+TASKS_A_CORE = 4
 CONSTRUCTS = {
     ast.For: "for", ast.While: "while", ast.If: "if", ast.Try: "try", ast.With: "with", ast.Lambda: "lambda", ast.ListComp: "comprehension",
     ast.SetComp: "comprehension", ast.DictComp: "comprehension", ast.GeneratorExp: "comprehension", ast.ClassDef: "class",
@@ -59,7 +61,9 @@ def source_facts(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_id", "fact", "name", "line", "in_function"])
 
     kind = sources.schema["file_id"].dataType.simpleString()
-    return sources.select("file_id", "source").mapInPandas(work, f"file_id {kind}, fact string, name string, line int, in_function string")
+    # Sources are dear by their length, and may come in a few small files: dealt out anew, so that all cores parse.
+    dealt = sources.select("file_id", "source").repartition(TASKS_A_CORE * sources.sparkSession.sparkContext.defaultParallelism, "file_id")
+    return dealt.mapInPandas(work, f"file_id {kind}, fact string, name string, line int, in_function string")
 
 
 def call_sites(facts: DataFrame) -> DataFrame:
