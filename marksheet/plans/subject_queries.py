@@ -11,6 +11,8 @@ from marksheet.operators import roots as R
 from marksheet.operators import similar_names as N
 from marksheet.operators import source_map as M
 
+from marksheet.sources.tables import spread
+
 from . import adapters as A
 from .queries import query
 
@@ -142,7 +144,7 @@ _LINES = """lines AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents, their items as lines in an order of their own."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("pos"), (F.col("l_partkey") % 4).cast("int").alias("k"), (F.col("l_suppkey") % 3).cast("int").alias("m"), F.col("l_partkey").alias("n"))
+    return spread(A.table(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("pos"), (F.col("l_partkey") % 4).cast("int").alias("k"), (F.col("l_suppkey") % 3).cast("int").alias("m"), F.col("l_partkey").alias("n"))
 
 
 @query(f"""WITH {_LINES}, b AS (SELECT doc_id, pos, m > 0 AS heading, k + 1 AS level, 't' || n AS text FROM lines), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, count(*) FILTER (WHERE level = 1) OVER (PARTITION BY doc_id) AS tops FROM b WHERE heading),

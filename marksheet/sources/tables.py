@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: rows that a task of spread() has on average.
+ROWS_A_TASK = 500_000
+
+
 def by_shuffle(df: DataFrame) -> DataFrame:
     """df for one side of a join that deals rows by their keys. Sizes of what is exploded or put into structs are guessed far too small, and
     Spark would gather such a side in the driver to broadcast it."""
@@ -20,6 +24,13 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into tasks of about ROWS_A_TASK rows, so that what sorts in a task hold doesn't grow with the table. df is counted
+    for that, which costs little where it is a plain Parquet table. Windows and aggregates by these keys deal nothing anew."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    return df.repartition(tasks, *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet below spark.checkpoint.dir, read again: what several steps read is built once, and survives lost executors. In
     local mode without that setting, below a temporary folder."""

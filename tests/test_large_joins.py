@@ -6,8 +6,11 @@ import io
 import pytest
 
 import __spark_entry__ as entry
+from marksheet.operators import events as EV
+from marksheet.operators import source_facts as SF
+from marksheet.sources import tables as T
 
-SF = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -19,4 +22,19 @@ def plan(df):
 
 @pytest.mark.parametrize("name", ["filled_calls", "derived_tests", "printed_literals"])
 def test_nothing_is_broadcast(spark, name):
-    assert "Broadcast" not in plan(entry.queries()[name](spark, SF))
+    assert "Broadcast" not in plan(entry.queries()[name](spark, DATA))
+
+
+def test_work_follows_the_rows(spark):
+    few = spark.createDataFrame([(i, "abs(1)\n") for i in range(3)], "file_id int, source string").coalesce(1)
+    assert SF.source_facts(few).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = spark.range(10 * T.ROWS_A_TASK, numPartitions=1)
+    dealt = T.spread(rows, "id")
+    assert dealt.rdd.getNumPartitions() >= 10 and dealt.count() == rows.count()
+
+
+def test_equal_spans_are_one_island(spark):
+    """The SQL of merge_intervals sorts equal spans twice, in orders that may differ."""
+    rows = [(1, 5, 9)] * 40 + [(1, 20, 25)] * 40 + [(1, 9, 12)] * 3
+    got = EV.merge_intervals(spark.createDataFrame(rows, "doc_id int, start long, stop long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 5, 12), (1, 2, 20, 25)]
