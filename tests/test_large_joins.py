@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from marksheet.operators import events as EV
 from marksheet.operators import source_facts as SF
+from marksheet.operators import textdiff as TD
 from marksheet.sources import tables as T
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +39,11 @@ def test_equal_spans_are_one_island(spark):
     rows = [(1, 5, 9)] * 40 + [(1, 20, 25)] * 40 + [(1, 9, 12)] * 3
     got = EV.merge_intervals(spark.createDataFrame(rows, "doc_id int, start long, stop long")).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 5, 12), (1, 2, 20, 25)]
+
+
+def test_equal_pieces_are_found_once(spark):
+    TD._matches.cache_clear()
+    rows = TD._aligned(["the cat sat\n"], ["the big cat\n"])
+    assert rows[0]["op"] == "changed" and TD._matches.cache_info().misses == 1 and TD._matches.cache_info().hits == 1
+    cases = spark.createDataFrame([("a", "x\n", "y\n"), ("b", "x\n", "x\n")], "case_id string, expected string, actual string").coalesce(1)
+    assert TD.diff_lines(cases).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
