@@ -82,8 +82,10 @@ def exercise_membership(located: DataFrame, exercises: DataFrame) -> DataFrame:
     """Checks of each exercise: by its id, or, where no exercise is known, by its file (then of every exercise of the file).
     Columns of exercises begin with of_."""
     dim = exercises.select(*[F.col(c).alias(f"of_{c}") for c in exercises.columns])
-    by_id = located.join(dim, F.col("located_exercise") == F.col("of_exercise_id"))
-    return by_id.unionByName(located.where("located_exercise is null").join(dim, F.col("located_file") == F.col("of_file")))
+    # One join of both kinds, so that the checks are read and deduped once.
+    keyed = dim.select("*", F.lit(False).alias("by_file"), F.col("of_exercise_id").alias("of_key")).unionByName(dim.select("*", F.lit(True).alias("by_file"), F.col("of_file").alias("of_key")))
+    own = (F.coalesce("located_exercise", "located_file") == F.col("of_key")) & (F.col("located_exercise").isNull() == F.col("by_file"))
+    return located.join(keyed, own).drop("by_file", "of_key")
 
 
 def exercise_scores(located: DataFrame, exercises: DataFrame, runs: DataFrame) -> DataFrame:

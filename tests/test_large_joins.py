@@ -4,11 +4,14 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from marksheet.operators import events as EV
+from marksheet.operators import scoring as SC
 from marksheet.operators import source_facts as SF
 from marksheet.operators import textdiff as TD
+from marksheet.plans import adapters as A
 from marksheet.sources import tables as T
 
 DATA = "/root/testdata/sf0.001"
@@ -47,3 +50,8 @@ def test_equal_pieces_are_found_once(spark):
     assert rows[0]["op"] == "changed" and TD._matches.cache_info().misses == 1 and TD._matches.cache_info().hits == 1
     cases = spark.createDataFrame([("a", "x\n", "y\n"), ("b", "x\n", "x\n")], "case_id string, expected string, actual string").coalesce(1)
     assert TD.diff_lines(cases).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_checks_are_read_once_for_their_exercises(spark):
+    rows = A.checks(spark, DATA).select("check_id", F.col("exercise_id").alias("located_exercise"), F.col("file").alias("located_file"))
+    assert plan(SC.exercise_membership(rows, A.exercises(spark))).count("FileScan parquet") == 1
