@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marksheet.functions import text as X
+from marksheet.sources.tables import once, written
 
 #: Folders that stay empty in a snapshot, folders of archives alone, letters and names that Windows doesn't store.
 SKIPPED_FOLDERS = ["node_modules", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache"]
@@ -24,6 +25,8 @@ FORBIDDEN_LETTERS = ["<", ">", ":", '"', "|", "?", "*"]
 DEVICES = r"^(CON|PRN|AUX|NUL|CONIN\$|CONOUT\$|(COM|LPT)[1-9¹²³])$"
 #: Rows of a listing that one task looks at to find where a budget is spent.
 BLOCK = 4096
+#: Fixed value: tasks for each core that look at paths.
+TASKS_A_CORE = 4
 #: What a task holds of a listing or of contents before it hands them on.
 BATCH_ROWS, BATCH_BYTES = 10_000, 32 << 20
 
@@ -127,9 +130,9 @@ def clean_parts(raw: Column) -> Column:
 def name_problem(name: Column) -> Column:
     """Why a name can't be stored everywhere, or null."""
     bad = F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(name, ""), lambda c: c.isin(*FORBIDDEN_LETTERS)))), " ")
-    stem = F.upper(F.rtrim(F.element_at(F.split(name, r"\."), 1)))
+    stem = F.upper(F.rtrim(F.substring_index(name, ".", 1)))
     return (
-        F.when(name.rlike(r"[\x00-\x1F]"), "control character in the name").when(bad != "", F.concat(F.lit("character(s) "), bad, F.lit(" not allowed in file names")))
+        F.when(name.rlike(r"[\x00-\x1F]"), "control character in the name").when(name.rlike(f"[{''.join(FORBIDDEN_LETTERS)}]"), F.concat(F.lit("character(s) "), bad, F.lit(" not allowed in file names")))
         .when(name.rlike(r"[ .]\z"), "name ending with a space or a dot").when(stem.rlike(DEVICES), F.concat(F.lit("reserved device name '"), stem, F.lit("'")))
     )
 
@@ -152,8 +155,6 @@ def _below(parent: Column, name: Column) -> Column:
 def _classified(listing: DataFrame) -> DataFrame:
     """fate and note of each row by its own path alone; null fate where other rows matter."""
     parts, size, folder = F.col("parts"), F.size("parts"), F.col("kind") == "directory"
-    # Generated columns are computed once: as plain ones they would be copied into each expression and filter that names them.
-    once = lambda df, **columns: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
     rows = listing.select("project_id", "pos", "kind", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("raw", F.lit("")).alias("raw"))
     rows = once(rows, unsafe=unsafe(F.col("raw")), parts=clean_parts(F.col("raw"))).drop("raw")
     # The outermost folder of a name with a meaning decides.
@@ -174,7 +175,7 @@ def _classified(listing: DataFrame) -> DataFrame:
 
 
 def _conflicts(open_rows: DataFrame) -> DataFrame:
-    """(project_id, pos, conflict): of paths that can't be stored side by side the first listed stays.
+    """open_rows with conflict, null where a path may stay: of paths that can't be stored side by side the first listed does.
 
     Below one spelling of a folder, the first of names that differ by case alone owns the name; what comes later by another spelling, or
     needs a file as its folder, conflicts, outermost folder first. All rows of a folder live or fall with it, so no order among
@@ -190,11 +191,15 @@ def _conflicts(open_rows: DataFrame) -> DataFrame:
     other = F.col("owner.name") != F.col("name")
     lost = spelled.where(other | ~F.col("owner.folder"))
     reason = F.when(other, F.concat(F.lit("folder '"), "path", F.lit("' differs only by letter case from '"), "owned", F.lit("'"))).otherwise(F.concat(F.lit("its parent '"), "path", F.lit("' is a file")))
-    inside = open_rows.select("project_id", "pos", F.explode(X.parents(F.col("path"))).alias("path")).where("path is not null").join(lost.select("project_id", "path", "depth", reason.alias("conflict")), ["project_id", "path"])
-    own = open_rows.join(spelled.select("project_id", "path", "owner", "owned"), ["project_id", "path"]).where((F.col("owner.pos") != F.col("pos")) & ~((F.col("owned") == F.col("path")) & F.col("owner.folder") & (F.col("kind") == "directory")))
+    lost = lost.select("project_id", "path", "depth", reason.alias("conflict"))
+    mine = open_rows.withColumn("folder", _path(parts, n - 1)).withColumn("block", _block())
+    folders = mine.where("folder <> ''").select("project_id", "folder", "block").distinct()
+    inside = folders.select("project_id", "folder").distinct().select("project_id", "folder", F.explode(F.array_append(X.parents(F.col("folder")), F.col("folder"))).alias("path")).where("path is not null").join(lost, ["project_id", "path"])
+    inside = inside.groupBy("project_id", "folder").agg(F.min_by("conflict", "depth").alias("inside"))
+    rows = mine.join(folders.join(inside, ["project_id", "folder"]), ["project_id", "folder", "block"], "left").join(spelled.select("project_id", "path", "owner", "owned"), ["project_id", "path"], "left")
     reason = F.when(F.col("owned") == F.col("path"), "duplicate entry").otherwise(F.concat(F.lit("differs only by letter case from '"), "owned", F.lit("'")))
-    found = inside.select("project_id", "pos", "depth", "conflict").unionByName(own.select("project_id", "pos", F.size("parts").alias("depth"), reason.alias("conflict")))
-    return found.groupBy("project_id", "pos").agg(F.min_by("conflict", "depth").alias("conflict"))
+    own = F.when((F.col("owner.pos") != F.col("pos")) & ~((F.col("owned") == F.col("path")) & F.col("owner.folder") & (F.col("kind") == "directory")), reason)
+    return rows.select(*open_rows.columns, F.coalesce("inside", own).alias("conflict"))
 
 
 def snapshot_entries(listing: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -202,10 +207,13 @@ def snapshot_entries(listing: DataFrame, limits: Limits = Limits()) -> DataFrame
 
     fate: keep; git (kept under its own budget); placeholder (in a folder that stays empty: placeholder is its path); skipped, conflict
     and too_large, with a note; root (the folder itself); unsafe (its project is rejected). A null raw is the folder itself, a null
-    size 0. Case is folded by upper and lower case of each letter."""
-    rows = _classified(listing)
-    clash = _conflicts(rows.where("fate is null"))
-    rows = rows.join(clash, ["project_id", "pos"], "left")
+    size 0. Case is folded by upper and lower case of each letter.
+
+    Paths are dear to look at: the listing, which may come in a few files, is dealt to all cores, and what was found is written for the steps
+    that follow."""
+    tasks = TASKS_A_CORE * listing.sparkSession.sparkContext.defaultParallelism
+    rows = written(_classified(listing.repartition(tasks, "project_id", "pos")), "snapshot-rows")
+    rows = _conflicts(rows.where("fate is null")).unionByName(rows.where("fate is not null"), allowMissingColumns=True)
     large = (F.col("kind") != "directory") & (F.col("size") > limits.file_bytes)
     note = F.coalesce("note", F.when(F.col("fate").isNull(), F.coalesce(F.concat("conflict", F.lit(", not copied")), F.when(large, F.format_string(f"file too large: %.1f MB, limit {limits.file_bytes >> 20} MB", F.col("size") / (1 << 20))))))
     fate = F.coalesce("fate", F.when(F.col("conflict").isNotNull(), "conflict").when(large, "too_large").otherwise("keep"))
@@ -215,12 +223,16 @@ def snapshot_entries(listing: DataFrame, limits: Limits = Limits()) -> DataFrame
 # ---------------------------------------------------------------- budgets
 
 
+def _block() -> Column:
+    return F.floor(F.col("pos") / BLOCK)
+
+
 def _spent(amounts: DataFrame) -> DataFrame:
     """(project_id, measure, pos) where the amounts of a measure, in order of pos, first come above its limit.
 
     Sums by block of places first; only the block in which a budget is spent is looked at row by row."""
     by = Window.partitionBy("project_id", "measure").orderBy("block")
-    amounts = amounts.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    amounts = amounts.withColumn("block", _block())
     blocks = amounts.groupBy("project_id", "measure", "block", "limit").agg(F.sum("amount").alias("amount")).withColumn("upto", F.sum("amount").over(by))
     full = blocks.where("upto > `limit`").groupBy("project_id", "measure").agg(F.min_by(F.struct("block", (F.col("upto") - F.col("amount")).alias("before")), "block").alias("b")).select("project_id", "measure", "b.*")
     inside = amounts.join(full, ["project_id", "measure", "block"]).withColumn("upto", F.col("before") + F.sum("amount").over(Window.partitionBy("project_id", "measure").orderBy("pos")))
@@ -246,14 +258,23 @@ def snapshot_projects(entries: DataFrame, limits: Limits = Limits()) -> DataFram
     # On one row files are counted before bytes.
     order = F.struct("pos", F.when(F.col("measure") == "too_many_files", 0).otherwise(1), "measure")
     ended = bad.groupBy("project_id").agg(F.min("pos").alias("at_pos"), F.min_by("measure", order).alias("reason"))
-    upto = entries.join(ended, "project_id", "left").withColumn("counted", (F.col("fate") == "keep") & (F.col("kind") != "directory") & (F.col("at_pos").isNull() | (F.col("pos") <= F.col("at_pos"))))
-    tops = upto.groupBy("project_id", F.element_at(F.split("path", "/"), 1).alias("top")).agg(
-        F.count_if("counted").alias("files"), F.coalesce(F.sum(F.when(F.col("counted"), F.col("size"))), F.lit(0)).alias("total_bytes"),
-        F.count_if((F.col("fate") == "git") & (F.col("kind") != "directory")).alias("git_files"), F.coalesce(F.sum(F.when((F.col("fate") == "git") & (F.col("kind") != "directory"), F.col("size"))), F.lit(0)).alias("git_bytes"), F.first("reason").alias("reason"), F.first("at_pos").alias("at_pos"),
-    )
+    # Rows of a project may be too many for a task: they are summed by block, and only the block in which a project ends is looked at row by row.
+    rows = entries.withColumn("block", _block()).withColumn("top", F.element_at(F.split("path", "/"), 1))
+    counted, git = (F.col("fate") == "keep") & (F.col("kind") != "directory"), (F.col("fate") == "git") & (F.col("kind") != "directory")
+    size = lambda which: F.sum(F.when(which, F.col("size")).otherwise(0))
+    blocks = rows.groupBy("project_id", "top", "block").agg(F.count_if(counted).alias("files"), size(counted).alias("total_bytes"), F.count_if(git).alias("git_files"), size(git).alias("git_bytes"))
+    last = ended.select("project_id", "at_pos", F.floor(F.col("at_pos") / BLOCK).alias("last"))
+    before = F.col("last").isNull() | (F.col("block") < F.col("last"))
+    blocks = blocks.join(last.drop("at_pos"), "project_id", "left").select("project_id", "top", *[F.when(before, F.col(c)).otherwise(0).alias(c) for c in ("files", "total_bytes")], "git_files", "git_bytes")
+    rest = rows.where(counted).join(last.withColumnRenamed("last", "block"), ["project_id", "block"]).where("pos <= at_pos")
+    rest = rest.groupBy("project_id", "top").agg(F.count("*").alias("files"), F.sum("size").alias("total_bytes")).withColumn("git_files", F.lit(0).cast("long")).withColumn("git_bytes", F.lit(0).cast("long"))
+    sums = [F.sum(c).alias(c) for c in ("files", "total_bytes", "git_files", "git_bytes")]
+    tops = blocks.unionByName(rest).groupBy("project_id", "top").agg(*sums)
     place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("files"), "top"))
-    heavy = F.array_sort(F.collect_list(F.when((F.col("place") <= 3) & (F.col("files") > 0) & F.col("reason").isin("too_many_files", "too_large"), F.struct("place", F.concat("top", F.lit(":"), F.col("files").cast("string")).alias("text")))))
-    total = tops.withColumn("place", place).groupBy("project_id").agg(F.first("reason").alias("reason"), F.first("at_pos").alias("at_pos"), F.sum("files").alias("files"), F.sum("total_bytes").alias("total_bytes"), F.sum("git_files").alias("git_files"), F.sum("git_bytes").alias("git_bytes"), heavy.alias("heavy"))
+    heavy = tops.where("files > 0").select("project_id", "top", "files", place.alias("place")).where("place <= 3")
+    heavy = heavy.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("place", F.concat("top", F.lit(":"), F.col("files").cast("string")).alias("text")))).alias("heavy"))
+    heavy = heavy.join(ended.where("reason IN ('too_many_files', 'too_large')").select("project_id"), "project_id", "left_semi")
+    total = tops.groupBy("project_id").agg(*sums).join(ended, "project_id", "left").join(heavy, "project_id", "left").withColumn("heavy", F.coalesce("heavy", F.expr("cast(array() as array<struct<place:int,text:string>>)")))
     fits = (F.col("git_files") <= limits.git_files) & (F.col("git_bytes") <= limits.git_bytes)
     return total.select("project_id", F.when(F.col("reason").isNull(), "ok").otherwise("rejected").alias("status"), "reason", "at_pos", "files", "total_bytes", "git_files", fits.alias("git_kept"), F.array_join(F.transform("heavy", lambda x: x["text"]), ", ").alias("heaviest"))
 
@@ -264,7 +285,10 @@ def snapshot_tree(entries: DataFrame, projects: DataFrame) -> DataFrame:
     from marksheet.operators.structure import ordered_tree
 
     git = F.array_contains(F.split("path", "/"), ".git")
-    rows = entries.join(projects.where("status = 'ok'").select("project_id"), "project_id", "left_semi")
+    # Projects meet their rows by block, as one alone may have more rows than a task should hold.
+    rows = entries.withColumn("block", _block())
+    accepted = rows.select("project_id", "block").distinct().join(projects.where("status = 'ok'").select("project_id"), "project_id", "left_semi")
+    rows = rows.join(accepted, ["project_id", "block"], "left_semi")
     files = rows.where("fate = 'keep' and kind <> 'directory'").select("project_id", "path", "kind", "size")
     named = rows.where("fate = 'keep' or fate = 'git' and kind = 'directory'").select("project_id", F.explode(X.parents(F.col("path"))).alias("path"))
     empty = rows.where("fate = 'placeholder'").select("project_id", F.col("placeholder").alias("path")).distinct()

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from marksheet.operators import scoring as SC
 from marksheet.operators import source_facts as SF
 from marksheet.operators import textdiff as TD
 from marksheet.plans import adapters as A
+from marksheet.sources import snapshots as SN
 from marksheet.sources import tables as T
 
 DATA = "/root/testdata/sf0.001"
@@ -55,3 +57,13 @@ def test_equal_pieces_are_found_once(spark):
 def test_checks_are_read_once_for_their_exercises(spark):
     rows = A.checks(spark, DATA).select("check_id", F.col("exercise_id").alias("located_exercise"), F.col("file").alias("located_file"))
     assert plan(SC.exercise_membership(rows, A.exercises(spark))).count("FileScan parquet") == 1
+
+
+def test_a_large_project_is_many_tasks(spark):
+    rows = [(1, i, f"src/m{i}.py", "file", 5) for i in range(50)]
+    entries = SN.snapshot_entries(spark.createDataFrame(rows, "project_id int, pos long, raw string, kind string, size long").coalesce(1))
+    assert "RLIKE" not in plan(entries)  # paths are looked at once, before this plan
+    entries = T.written(entries, "entries")
+    projects = SN.snapshot_projects(entries)
+    for df in (projects, SN.snapshot_tree(entries, projects)):
+        assert re.search(r"Join \[project_id#\d+, block#\d+L\]", plan(df))
