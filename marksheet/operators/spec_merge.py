@@ -20,6 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marksheet.sources.tables import written
+
 NO_PLACES = "cast(array() as array<struct<side:int,pos:bigint>>)"
 TAKEN = "cast(array() as array<struct<pos:bigint,into:struct<side:int,pos:bigint>>>)"
 
@@ -121,8 +123,10 @@ def merge_specs(base: Spec, other: Spec) -> Spec:
     required outputs of a script fill empty lists. Functions: a name that is defined elsewhere is dropped; rules and reference fill
     gaps. Tests: new functions bring all theirs, known ones those whose call is new (the first of equals), scripts theirs if there were
     none; each gets a free id. Functions and tests name their exercise by (side, exercise_pos).
+
+    Where exercises go and what becomes of functions is written, as many of the joins below read it.
     """
-    goes = match_exercises(base, other)
+    goes = written(match_exercises(base, other), "merge-goes")
     names = _names(base, other)
     ids = _added_ids(base, other, goes)
     # What becomes of each function of other.
@@ -131,6 +135,7 @@ def merge_specs(base: Spec, other: Spec) -> Spec:
     is_held = F.coalesce("in_place", F.lit(False)) | ((F.col("side") == 1) & ~F.col("in_base") & (F.col("first") == F.col("pos")) & (F.col("exercise_pos") != F.col("pos")))
     is_new = ~F.col("in_base") & (F.col("first") == F.col("exercise_pos"))
     claims = claims.withColumn("fate", F.when(is_held, "held").when(is_new, "new")).where("fate IS NOT NULL").select("spec_id", "exercise_pos", "side", "pos", "name", "function_pos", "rules", "reference", "fate")
+    claims = written(claims, "merge-claims")
     # Functions: base's and new ones, their gaps filled by held ones.
     whole = base.functions.select("spec_id", F.lit(0).alias("side"), F.col("exercise_pos").cast("long").alias("pos"), "name", F.lit(False).alias("added"), F.col("exercise_pos").cast("long").alias("from_pos"), F.col("pos").alias("function_pos"), "rules", "reference")
     new = claims.where("fate = 'new'").select("spec_id", "side", "pos", "name", F.lit(True).alias("added"), F.col("exercise_pos").cast("long").alias("from_pos"), "function_pos", "rules", "reference")
@@ -168,7 +173,8 @@ def merge_specs(base: Spec, other: Spec) -> Spec:
     tested = had.where("name IS NULL").select("spec_id", "side", "pos").unionByName(own_scripts.select("spec_id", "side", "pos")).distinct()
     of_scripts = own_scripts.unionByName(of_scripts.where(~_itself()).join(tested, ["spec_id", "side", "pos"], "left_anti"))
     more = brought.unionByName(extra, allowMissingColumns=True).unionByName(of_scripts, allowMissingColumns=True)
-    more = more.join(exercises.select("spec_id", "side", "pos", "exercise_id"), ["spec_id", "side", "pos"]).withColumn("prefix", F.when(F.col("name").isNull(), F.concat("exercise_id", F.lit("#session"))).otherwise(F.concat("name", F.lit("#ex"))))
+    named = base.exercises.select("spec_id", F.lit(0).alias("side"), F.col("pos").cast("long").alias("pos"), "exercise_id").unionByName(ids.select("spec_id", F.lit(1).alias("side"), "pos", F.col("new_id").alias("exercise_id")))
+    more = more.join(named, ["spec_id", "side", "pos"]).withColumn("prefix", F.when(F.col("name").isNull(), F.concat("exercise_id", F.lit("#session"))).otherwise(F.concat("name", F.lit("#ex"))))
     claimed = more.withColumnRenamed("pos", "into_pos").withColumn("pos", F.struct("exercise_pos", "test_pos"))
     numbered = free_numbers(claimed, base.tests.select("spec_id", "test_id")).select("spec_id", "side", F.col("into_pos").alias("pos"), "name", "exercise_pos", "test_pos", "test_id", "call", F.lit(True).alias("added"))
     every = had.withColumn("added", F.lit(False)).withColumn("exercise_pos", F.col("pos")).unionByName(numbered)

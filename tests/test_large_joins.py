@@ -67,3 +67,9 @@ def test_a_large_project_is_many_tasks(spark):
     projects = SN.snapshot_projects(entries)
     for df in (projects, SN.snapshot_tree(entries, projects)):
         assert re.search(r"Join \[project_id#\d+, block#\d+L\]", plan(df))
+
+
+def test_merged_exercises_are_matched_once(spark):
+    """Their places were worked out anew, by folds over arrays, for each of the joins that ask for them."""
+    said = plan(entry.queries()["merged_tests"](spark, DATA))
+    assert "untaken" not in said and said.count("lineitem.parquet") <= 20
