@@ -10,8 +10,9 @@ rules(function_id, rule_pos, provenance, raises, returns, returns_param); one wi
 comparisons(function_id, rule_pos, pos, left_param, left_value, op, right_param, right_value): a chain a < b < c is two rows; a side that
 is neither a parameter nor a constant has both null and can't be evaluated.
 
-A function's parameters, rules and comparisons are collected into one short array, its calls never are: they meet the arrays by a join
-on the function and are evaluated inside expressions. All joins are by shuffle, as any of the tables may be too large for the driver.
+A function's parameters, rules and comparisons are collected into one short array, as are a call's arguments; a function's calls
+never are: they meet the arrays by a join on the function and are evaluated inside expressions. All joins are by shuffle, as any of the
+tables may be too large for the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marksheet.sources.tables import by_shuffle, once
+from marksheet.sources.tables import by_shuffle, once, written
 
 from .spec_merge import free_numbers
 
@@ -46,13 +47,14 @@ def call_key(assignment: Column) -> Column:
 def bound_calls(calls: DataFrame, args: DataFrame, params: DataFrame) -> DataFrame:
     """(function_id, pos, provenance, assignment): calls whose arguments all are parameters and leave none without a value; assignment has
     struct<pos, name, value> of each parameter in order."""
-    given = args.select("function_id", F.col("call_pos").alias("pos"), "name", "value")
-    known = params.select("function_id", "name")
-    odd = given.join(by_shuffle(known), ["function_id", "name"], "left_anti").select("function_id", "pos").distinct()
-    slots = calls.join(by_shuffle(params.select("function_id", F.col("pos").alias("param_pos"), "name", "default")), "function_id", "left").join(by_shuffle(given), ["function_id", "pos", "name"], "left")
-    slot = F.struct(F.col("param_pos").alias("pos"), "name", F.coalesce("value", "default").alias("value"))
-    whole = slots.groupBy("function_id", "pos", "provenance").agg(F.sort_array(F.collect_list(F.when(F.col("name").isNotNull(), slot))).alias("assignment"))
-    return whole.where(F.forall("assignment", lambda a: a["value"].isNotNull())).join(by_shuffle(odd), ["function_id", "pos"], "left_anti")
+    given = args.groupBy("function_id", F.col("call_pos").alias("pos")).agg(F.collect_list(F.struct("name", "value")).alias("given"))
+    slots = params.where("name IS NOT NULL").groupBy("function_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("name", "default").alias("param")))).alias("slots"))
+    every = calls.join(by_shuffle(given), ["function_id", "pos"], "left").join(by_shuffle(slots), "function_id", "left")
+    every = every.withColumn("given", F.coalesce("given", F.array().cast(f"array<struct<name:string,value:{VALUE}>>"))).withColumn("slots", F.coalesce("slots", F.array().cast(slots.schema["slots"].dataType)))
+    own = lambda name: F.get(F.filter("given", lambda g: g["name"] == name), F.lit(0))["value"]
+    every = once(every, assignment=F.transform("slots", lambda s: F.struct(s["pos"].alias("pos"), s["param"]["name"].alias("name"), F.coalesce(own(s["param"]["name"]), s["param"]["default"]).alias("value"))))
+    known = F.forall("given", lambda g: F.exists("slots", lambda s: F.coalesce(s["param"]["name"] == g["name"], F.lit(False))))
+    return every.where(known & F.forall("assignment", lambda a: a["value"].isNotNull())).select("function_id", "pos", "provenance", "assignment")
 
 
 def base_values(params: DataFrame, bound: DataFrame) -> DataFrame:
@@ -156,9 +158,9 @@ def filled_calls(functions: DataFrame, params: DataFrame, calls: DataFrame, args
 def derived_tests(functions: DataFrame, params: DataFrame, calls: DataFrame, args: DataFrame, rules: DataFrame, comparisons: DataFrame, used: DataFrame) -> DataFrame:
     """(function_id, test_id, rule_pos, pos, point, assignment, expected, exception, confidence): a test for each boundary case that no
     given call makes already and whose outcome is known. Less is said for it where an extracted rule gave the case or the outcome. Ids
-    are free beside used(spec_id, test_id)."""
+    are free beside used(spec_id, test_id). Calls with their arguments are written, as base values and the calls made already both read them."""
     able, sure = trusted(functions.where("must_return"), rules)
-    bound = bound_calls(calls, args, params)
+    bound = written(bound_calls(calls, args, params), "bound-calls")
     cases = boundary_cases(comparisons.join(by_shuffle(sure.select("function_id", "rule_pos", F.col("provenance").alias("said_by"))), ["function_id", "rule_pos"]).drop("said_by"), base_values(params, bound))
     taken = bound.select("function_id", call_key(F.col("assignment")).alias("key")).distinct()
     fresh = cases.withColumn("key", call_key(F.col("assignment"))).join(by_shuffle(taken), ["function_id", "key"], "left_anti").drop("key")

@@ -73,3 +73,11 @@ def test_merged_exercises_are_matched_once(spark):
     """Their places were worked out anew, by folds over arrays, for each of the joins that ask for them."""
     said = plan(entry.queries()["merged_tests"](spark, DATA))
     assert "untaken" not in said and said.count("lineitem.parquet") <= 20
+
+
+def test_calls_are_bound_once(spark):
+    """Arguments met parameters row by row, and that twice over: for base values and for the calls made already."""
+    said = plan(entry.queries()["derived_tests"](spark, DATA))
+    assert said.count("lineitem.parquet") == 1 and "bound-calls" in said
+    said = plan(entry.queries()["filled_calls"](spark, DATA))
+    assert said.count("lineitem.parquet") == 2 and "LeftAnti" not in said
