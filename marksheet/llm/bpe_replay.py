@@ -1,7 +1,7 @@
 """Byte-level BPE by replaying merges over a vocabulary, and decoding.
 
-A block of documents (an Arrow batch, cut at BLOCK_BYTES) is reduced to its distinct pre-tokens. Over these
-an inverted index from mergeable token pair to positions is kept; the lowest rank is applied at all its
+A block of documents (an Arrow batch, cut at BLOCK_BYTES) is reduced to its distinct pre-tokens, less those that
+the worker remembers from blocks before. Over these an inverted index from mergeable token pair to positions is kept; the lowest rank is applied at all its
 positions at once, then only the pairs that touch a merged symbol are looked up anew. No shuffle is needed.
 
 Defined results: a null text is encoded as empty; an empty text has no ids; a repeated row is encoded again.
@@ -10,6 +10,7 @@ Defined results: a null text is encoded as empty; an empty text has no ids; a re
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -26,6 +27,7 @@ from .textbuf import give_back, runs
 
 #: Texts that are replayed together: larger blocks learn more rare pieces at once, smaller ones take less memory.
 BLOCK_BYTES, SMALL_BLOCK_BYTES = 3_000_000, 1_000_000
+#: A memo's generation is closed beyond so many entries; longer entries are not kept.
 MEMO_PIECES, MEMO_CHARS = 200_000, 64
 #: A merge at so few positions is applied one by one, as numpy's calls would cost more.
 FEW = 24
@@ -57,6 +59,7 @@ class MergeReplay:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.id = list(range(len(self.bytes_of)))  # one object an id: results share them, which takes less memory and time
 
     def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank that merging each pair gives, NONE if there is none. b < 0: no symbol."""
@@ -171,7 +174,7 @@ class MergeReplay:
             touched = np.concatenate([where, before])
             rank[touched] = self.ranks_of(sym[touched], symbol_after(nxt[touched]))
             post(touched)
-        ids, counts = sym[alive].tolist(), np.bincount(word[alive], minlength=len(sizes))
+        ids, counts = [*map(self.id.__getitem__, sym[alive].tolist())], np.bincount(word[alive], minlength=len(sizes))
         ends = np.cumsum(counts).tolist()
         return [tuple(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -195,21 +198,51 @@ def fast_pattern(pattern: str) -> re.Pattern:
     return re.compile(out.replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]"))
 
 
+class Memo:
+    """Ids of what came up lately, in two generations: what the older one has moves on when it comes up again, else it is dropped."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.long: list[str] = []
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those that are to be learnt; all others are in young afterwards."""
+        self.drop_long()
+        if len(self.young) > MEMO_PIECES:
+            self.young, self.old = {}, self.young
+        keys = keys.difference(self.young)  # not "keys - self.young.keys()", which walks the whole memo
+        new = keys.difference(self.old)
+        self.young.update((k, self.old[k]) for k in keys.difference(new))
+        return list(new)
+
+    def add(self, got: dict[str, tuple[int, ...]]) -> None:
+        self.young.update(got)
+        self.long = [k for k in got if len(k) > MEMO_CHARS]
+
+    def drop_long(self) -> None:
+        """Long ones stay for one block."""
+        for k in self.long:
+            del self.young[k]
+        self.long = []
+
+
 class Codec:
-    """Encodes blocks of texts and decodes ids; one for each worker process."""
+    """Encodes blocks of texts and decodes ids; one for each worker process, whose tasks share what was learnt."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.replay, self.pattern = MergeReplay(ranks), fast_pattern(pattern)
         self.bytes_of = self.replay.bytes_of
         self.digits_of = [str(k) for k in range(len(self.bytes_of))]
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.pieces, self.words = Memo(), Memo()
 
-    def learn(self, new: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of pieces: their distinct pre-tokens are the vocabulary of one replay."""
+    def learn(self, new: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each of these pieces: their distinct pre-tokens that aren't known yet are the vocabulary of one replay."""
         cut = [self.pattern.findall(p) for p in new]
-        vocabulary = list(dict.fromkeys(chain.from_iterable(cut)))
-        ids = dict(zip(vocabulary, self.replay.encode([w.encode() for w in vocabulary]), strict=True))
-        return {p: tuple(chain.from_iterable([ids[w] for w in c])) for p, c in zip(new, cut, strict=True)}
+        vocabulary = self.words.missing(set(chain.from_iterable(cut)))
+        self.words.add(dict(zip(vocabulary, self.replay.encode([w.encode() for w in vocabulary]), strict=True)))
+        ids = self.words.young
+        return [ids[c[0]] if len(c) == 1 else tuple(chain.from_iterable([ids[w] for w in c])) for c in cut]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         seen: set[str] = set()
@@ -218,22 +251,18 @@ class Codec:
             p = pieces(t)
             heads.add(p[0])
             seen.update(p[1:])
-        if len(self.memo) > MEMO_PIECES:
-            self.memo = {}
-        new = list(seen.difference(self.memo))  # not "seen - self.memo.keys()", which walks the whole memo
-        got = self.learn([" " + p for p in new] + list(heads))
-        late = {p: got[" " + p] for p in new if len(p) > MEMO_CHARS}
-        self.memo.update((p, got[" " + p]) for p in new if len(p) <= MEMO_CHARS)
-        memo, got = self.memo, {h: got[h] for h in heads}
-        del seen, new, heads
+        new, first = self.pieces.missing(seen), list(heads)
+        got = self.learn([" " + p for p in new] + first)
+        self.pieces.add(dict(zip(new, got)))
+        rest, start = self.pieces.young, dict(zip(first, got[len(new) :], strict=True))
+        del seen, new, heads, first, got
         for t in texts:
             if not t:
                 yield []
                 continue
             p = pieces(t)
-            rest = [memo[x] if x in memo else late[x] for x in p[1:]] if late else map(memo.__getitem__, p[1:])
-            ids = list(got[p[0]])
-            ids.extend(chain.from_iterable(rest))
+            ids = list(start[p[0]])
+            ids.extend(chain.from_iterable(map(rest.__getitem__, p[1:])))
             yield ids
 
     def decode(self, ids: list[int]) -> bytes:
@@ -257,21 +286,26 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: b
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_file, pattern)
-        for run in runs(batches, "text", block_bytes):
-            texts = [t or "" for t in run.rows.column(1).to_pylist()]
-            lists, n, ids_sha, text_sha = [], [], [], []
-            for ids in own.encode(texts):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(own.digits_of.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
+        gc.disable()  # the memos' tuples are in no cycle, and walking them takes a fifth of the time
+        try:
+            for run in runs(batches, "text", block_bytes):
+                texts = [t or "" for t in run.rows.column(1).to_pylist()]
+                lists, n, ids_sha, text_sha = [], [], [], []
+                for ids in own.encode(texts):
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(",".join(map(own.digits_of.__getitem__, ids)).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                    if keep_ids:
+                        lists.append(np.array(ids, np.int32))
+                out = {"doc_id": run.rows.column(0)}
                 if keep_ids:
-                    lists.append(np.array(ids, np.int32))
-            out = {"doc_id": run.rows.column(0)}
-            if keep_ids:
-                out["ids"] = pa.array(lists, pa.list_(pa.int32()))
-            out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-            yield pa.RecordBatch.from_pydict(out)
-        own.memo = {}  # the worker goes on to other stages
+                    out["ids"] = pa.array(lists, pa.list_(pa.int32()))
+                out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+                yield pa.RecordBatch.from_pydict(out)
+        finally:
+            gc.enable()
+        own.pieces.drop_long()
+        own.words.drop_long()
         give_back()
 
     schema = "doc_id long, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"

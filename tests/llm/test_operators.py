@@ -99,6 +99,24 @@ def test_bpe_replay(spark, docs, none):
     assert list(own.encode(odd)) == [enc.encode_ordinary(t) for t in odd]
 
 
+@pytest.mark.parametrize("kept", [3, bpe_replay.MEMO_PIECES])
+def test_known_words_are_not_replayed(monkeypatch, kept):
+    """Words were replayed again with each mark beside them, and common ones whenever the memo was full."""
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_replay.load_ranks(RANKS), special_tokens={})
+    own = bpe_replay.Codec(bpe_replay.load_ranks(RANKS), P.PATTERN)
+    replayed, encode = [], own.replay.encode
+    monkeypatch.setattr(own.replay, "encode", lambda words: replayed.extend(words) or encode(words))
+    monkeypatch.setattr(bpe_replay, "MEMO_PIECES", kept)
+    rng = random.Random(2)
+    for k in range(40):
+        texts = [f"the zebra{rng.choice(['', '.', ', '])} {rng.choice('abc')}{k}x the\n the {'y' * 70}{k}" for _ in range(3)]
+        assert list(own.encode(texts)) == [enc.encode_ordinary(t) for t in texts]
+    assert replayed.count(b" the") == 1 and replayed.count(b" " + b"y" * 70) == 40
+    assert kept == 3 or replayed.count(b" zebra") == 1
+
+
 def shingles(text):
     import re
 
