@@ -428,7 +428,7 @@ def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS file_id, (['abs','len','print'])[p_size % 3 + 1] AS name, 2::BIGINT AS n_calls, '5,6' AS lines, 'f' || p_partkey AS functions FROM part")
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = SF.call_sites(SF.source_facts(_sources(spark, sf_dir)))
+    sites = SF.call_sites(SF.source_facts(_sources(spark, sf_dir), only=["call"]))
     return sites.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ",")).withColumn("functions", F.array_join("functions", ","))
 
 

@@ -24,10 +24,11 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by keys into tasks of about ROWS_A_TASK rows, so that what sorts in a task hold doesn't grow with the table. df is counted
-    for that, which costs little where it is a plain Parquet table. Windows and aggregates by these keys deal nothing anew."""
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+def spread(df: DataFrame, *keys: str, rows: int = ROWS_A_TASK, a_core: int = 1) -> DataFrame:
+    """df dealt by keys into tasks of about that many rows, as many for each core at least, so that what sorts in a task hold doesn't grow
+    with the table. df is counted for that, which costs little where it is a plain Parquet table. Windows and aggregates by these keys deal
+    nothing anew."""
+    tasks = max(-(-df.count() // rows), a_core * df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(tasks, *keys)
 
 

@@ -1,8 +1,11 @@
 """Joins of tables that grow are dealt by key: at 60 times sf0.1 these broadcast tables that the driver couldn't hold."""
 
+import ast
 import contextlib
 import io
 import re
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +42,29 @@ def test_work_follows_the_rows(spark):
     assert dealt.rdd.getNumPartitions() >= 10 and dealt.count() == rows.count()
 
 
+def test_tasks_of_sources_follow_the_sources(spark, monkeypatch):
+    monkeypatch.setattr(SF, "SOURCES_A_TASK", 10)
+    monkeypatch.setattr(SF, "ROWS_A_FRAME", 3)
+    sources = spark.range(400).selectExpr("id AS file_id", "concat('import a\nabs(', id, ')\nx.y(len(1))\n') AS source")
+    facts = SF.source_facts(sources, only=["call"])
+    assert facts.rdd.getNumPartitions() == 40
+    assert sorted(map(tuple, facts.select("file_id", "fact", "name", "line").collect())) == [(i, "call", n, k) for i in range(400) for n, k in (("abs", 2), ("len", 3))]
+
+
+def test_long_chains_of_attributes(spark):
+    chain = "x" + ".a" * 1500
+    got = SF.source_facts(spark.createDataFrame([(1, f"{chain}()\nabs({chain})\n")], "file_id int, source string")).collect()
+    assert {(r.fact, r.name, r.line) for r in got} == {("method", chain, 1), ("call", "abs", 2)}
+
+
+def test_nothing_is_lost_below_leaves():
+    for path in Path(SF.__file__).parent.glob("*.py"):
+        nodes = list(ast.walk(ast.parse(path.read_text())))
+        got = Counter(f[0] for f in SF._facts(path.read_text()))
+        assert got["call"] + got["method"] == sum(isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute)) for n in nodes)
+        assert got["construct"] == sum(type(n) in SF.CONSTRUCTS for n in nodes) and got["function"] == sum(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) for n in nodes)
+
+
 def test_equal_spans_are_one_island(spark):
     """The SQL of merge_intervals sorts equal spans twice, in orders that may differ."""
     rows = [(1, 5, 9)] * 40 + [(1, 20, 25)] * 40 + [(1, 9, 12)] * 3
