@@ -99,8 +99,9 @@ def merge_steps(steps: DataFrame) -> DataFrame:
 
 
 def merge_intervals(spans: DataFrame) -> DataFrame:
-    """Overlapping or touching (start, stop) of a document become one."""
-    w = Window.partitionBy("doc_id").orderBy("start", "stop")
+    """Overlapping or touching (start, stop) of a document become one. Spans without start come last, each by itself; one without stop
+    comes after those of its start and reaches no further than they do."""
+    w = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("stop"))
     before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))

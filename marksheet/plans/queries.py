@@ -309,7 +309,7 @@ a AS (SELECT *, coalesce((start > max(stop) OVER (PARTITION BY doc_id ORDER BY s
 b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM a) SELECT doc_id, island, min(start) AS start, max(stop) AS stop FROM b GROUP BY doc_id, island""")
 def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = A.table(spark, sf_dir, "lineitem")
-    return EV.merge_intervals(li.select((F.col("l_orderkey") % 500).alias("doc_id"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.round("l_quantity").cast("long")).alias("stop")))
+    return EV.merge_intervals(li.select((F.col("l_orderkey") % 500).alias("doc_id"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.rint("l_quantity").cast("long")).alias("stop")))
 
 
 @query(f"WITH {A.EVENTS}, s AS (SELECT job_id % 50 AS script_id, job_id AS session_id, count(*) FILTER (WHERE kind = 'input') AS prompts FROM io GROUP BY ALL) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY script_id ORDER BY prompts DESC, session_id) = 1")

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from marksheet.operators import scoring as SC
 from marksheet.operators import source_facts as SF
 from marksheet.operators import textdiff as TD
 from marksheet.plans import adapters as A
+from marksheet.plans.queries import ORACLES, QUERIES
 from marksheet.sources import snapshots as SN
 from marksheet.sources import tables as T
 
@@ -72,6 +74,18 @@ def test_equal_spans_are_one_island(spark):
     assert sorted(map(tuple, got)) == [(1, 1, 5, 12), (1, 2, 20, 25)]
 
 
+def test_spans_with_nulls_and_halves_are_as_in_sql(spark, tmp_path):
+    """DuckDB sorts nulls last and rounds halves to even."""
+    rows = [(1, 5, 2.5), (1, 8, 3.5), (1, 12, None), (1, 12, 1.0), (1, None, 4.0), (1, 20, None), (1, 20, 3.0), (501, None, None), (2, None, 1.0), (2, 7, 0.5), (None, 3, 1.0), (None, 4, 1.5), (-1, 2, 2.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(f"SELECT doc_id, island, start, stop FROM ({ORACLES['merge_intervals']})").fetchall()
+    got = QUERIES["merge_intervals"](spark, str(tmp_path)).select("doc_id", "island", "start", "stop").collect()
+    assert Counter(map(tuple, got)) == Counter(want) and len(want) == 9
+
+
 def test_equal_pieces_are_found_once(spark):
     TD._matches.cache_clear()
     rows = TD._aligned(["the cat sat\n"], ["the big cat\n"])
